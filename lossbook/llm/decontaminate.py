@@ -34,25 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossbook.llm.arrow import map_batches
-from lossbook.llm.words import Chunk, chunks, spans_hash
+from lossbook.llm.words import Chunk, chunks, spans_hash, terms as folded_terms
 
 K1, B = 1.2, 0.75
-#: Bytes that belong to a term: ASCII letters and digits, and all of any other script.
-_TERM = np.zeros(256, bool)
-_TERM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
-_TERM[128:] = True
-_BLANKED = np.where(_TERM, np.arange(256), 32).astype(np.uint8)
-
-
-def _folded(chunk: Chunk) -> Chunk:
-    """The chunk with every byte outside terms as a space, in lower case (A-Z, and the Latin-1 capitals of UTF-8)."""
-    data = _BLANKED[chunk.raw]
-    latin = np.zeros(len(data), bool)
-    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    data[latin] += 32
-    return Chunk(data, chunk.offsets, lower=True)
-
-
 @dataclass(frozen=True)
 class Leak:
     threshold: float = 0.6
@@ -105,7 +89,7 @@ def _split(text: str) -> tuple[str, str]:
 def build_index(items: list[tuple[int, str]], leak: Leak) -> Index:
     items = sorted(items, key=lambda x: (len(x[1] or ""), x[0]))  # blocks of items alike in length have tight bounds
     batch = pa.record_batch([pa.array([t or "" for _, t in items], pa.string())], names=["text"])
-    whole = [(c, c.hashes()) for c in (_folded(c) for _, c in chunks(batch))]
+    whole = [(c, c.hashes()) for c in (folded_terms(c) for _, c in chunks(batch))]
     terms = [h[c.word_offsets[i] : c.word_offsets[i + 1]] for c, h in whole for i in range(c.n)]
     mean = np.mean([len(t) for t in terms]) if terms else 1.0
     counts = [Counter(t.tolist()) for t in terms]
@@ -134,7 +118,7 @@ def build_index(items: list[tuple[int, str]], leak: Leak) -> Index:
     grams = []
     for side in (0, 1):
         batch = pa.record_batch([pa.array([p[side] for p in parts], pa.string())], names=["text"])
-        got = [(c, c.hashes()) for c in (_folded(c) for _, c in chunks(batch))]
+        got = [(c, c.hashes()) for c in (folded_terms(c) for _, c in chunks(batch))]
         grams.append([_runs(h[c.word_offsets[i] : c.word_offsets[i + 1]], leak.gram) for c, h in got for i in range(c.n)])
     return Index(
         [k for k, _ in items], keys, items_, impacts, np.array([max(x for _, x in p) for p in flat], float),
@@ -188,7 +172,7 @@ def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, theta: f
 
 def _hits(chunk: Chunk, index: Index, leak: Leak) -> Iterator[tuple[int, int, float, float, float]]:
     """(document in the chunk, item, score, question overlap, answer overlap) of every leak."""
-    folded = _folded(chunk)
+    folded = folded_terms(chunk)
     hashes = folded.hashes()
     if not len(hashes) or not len(index.terms):
         return

@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     small = described.select("id", "n", "d1", "d2")
     sets = saved(small.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
     first = described.filter("n > 0").join(sets.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
-    groups = saved(_token_groups(first.select(F.col("id").alias("class"), "n", "prefix")), "jaccard-groups").distinct()
+    groups = saved(_token_groups(first.select(F.col("id").alias("class"), "n", "prefix")), "jaccard-groups")
     labels, done = None, None
     for step in ("nearest", "centres", "all"):
         members = _open_groups(groups, labels)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossbook.llm import decontaminate, fixity, line_dedup, mixing, ngram_jaccard, quality_rules, substring_dedup
+from lossbook.llm import decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -40,6 +44,14 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.warc_records(pages), fixity.warc_records(replica))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,26 +64,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
-_BASE_COUNTS = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         string_split(coalesce(text, ''), chr(10)) AS l, coalesce(text, '') AS t
-  FROM documents),
-g AS (
-  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
-covered AS (
-  SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM again, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
-c AS (
-  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
-         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         (len([x for x in l if regexp_matches(x, '[^\x20\x09-\x0D]')]) - len(list_distinct([x for x in l if regexp_matches(x, '[^\x20\x09-\x0D]')])))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_dedup": line_dedup.ORACLE_SQL,

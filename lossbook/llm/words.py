@@ -144,3 +144,24 @@ def chunks(batch: pa.RecordBatch, column: str = "text", lower: bool = False, siz
         part = offsets[row : end + 1]
         yield row, Chunk(data[part[0] : part[-1]], part - part[0], lower)
         row = end
+
+
+#: Bytes that belong to a term: ASCII letters and digits, and all of any other script.
+TERM = np.zeros(256, bool)
+TERM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+TERM[128:] = True
+_BLANKED = np.where(TERM, np.arange(256), 32).astype(np.uint8)
+
+
+def terms(chunk: Chunk) -> Chunk:
+    """The chunk with every byte outside terms as a space, in lower case (A-Z, and the Latin-1 capitals of UTF-8)."""
+    data = _BLANKED[chunk.raw]
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    data[latin] += 32
+    return Chunk(data, chunk.offsets, lower=True)
+
+
+def byte_hashes(chunk: Chunk) -> np.ndarray:
+    """The bytes' own random numbers, for spans_hash over parts of words."""
+    return _BYTE[chunk.data]
