@@ -1,20 +1,22 @@
 """Jaccard join on word n-grams with prefix filters under several global orders.
 
 A document's set holds the hashes of its distinct ``GRAM``-word shingles. Two
-sets at or above the threshold share a token among their first
-``n - ceil(t * n) + 1`` under *every* global order of tokens. Order 1 is by
-document frequency, rarest first (read from a sketch of fixed size that counts
-all documents), so common shingles make no candidates; orders 2 and 3 are by hash, upwards
-and downwards. Sharing a prefix token under order 1 makes a candidate; prefixes
-under orders 2 and 3 must meet too before a pair is verified on its full sets.
-
-Copies and clusters: documents with equal sets are one class. Candidate classes
-are first tried against one centre for each token group (the smallest class
-there), linked ones are merged, and only token groups that still hold several
-components go on: to a centre of another component, then to all
-pairs across components that are left. A group of near copies so costs about
-one comparison a member, and no link between components is lost. Centres with many
-members are salted; token groups stream through sorted buckets.
+sets at or above the threshold ``t`` share a token among their first
+``n - ceil(t * n) + 1`` under *every* global order of tokens, and ``k`` tokens
+among ``k - 1`` more. Order 1 is by document frequency, rarest first (read from a
+sketch of fixed size that counts all documents), so common shingles make no
+candidates; orders 2 and 3 are by hash, upwards and downwards. ``SHARED`` common
+prefix tokens under order 1 make a candidate; prefixes under orders 2 and 3 must
+meet too before a pair is verified on its full sets.
+
+Copies and clusters: documents with equal sets are one class. Each class is first
+tried against the hub it shares most prefix tokens with (the member of a token
+group whose own tokens are shared most often, as an original's are), linked
+ones are merged, and only token groups that still hold several components go on:
+twice to hubs of other components, then to all pairs across components that are
+left. A group of near copies so costs about one comparison a member, and no link
+between components is lost. Centres with many members are salted; token groups
+stream through sorted buckets.
 
 Edge cases: null text, empty text and text without words have no shingles and
 link with nothing (component_id is their own doc_id); fewer words than ``GRAM``
@@ -40,6 +42,8 @@ SKETCH_BITS = 21
 SLICE = 1 << 15
 BROADCAST_PAIRS = 200_000
 MEMBERS_PER_TASK = 512
+#: Prefix tokens that a candidate pair must share, or all that a small set must share.
+SHARED = 8
 
 
 def shingle_sets(chunk: Chunk, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +68,13 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
     return n - -(-THRESHOLD * n // 100) + 1
 
 
+def shared_tokens(n):
+    """Prefix tokens under order 1 that a set of n must share with any set it links to; n: a number, an array or a column name."""
+    if isinstance(n, str):
+        return F.least(F.lit(SHARED), F.ceil(F.col(n) * THRESHOLD / 100))
+    return np.minimum(SHARED, -(-THRESHOLD * n // 100))
+
+
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
     """Documents by shingle, counted in 2**SKETCH_BITS slots: a bound that doesn't grow with the input."""
 
@@ -111,7 +122,7 @@ def _described(docs: DataFrame, sketch) -> DataFrame:
                 order = np.argsort(mix(grams))
                 order = order[np.argsort(common[order], kind="stable")]
                 order = order[np.argsort(doc[order].astype(np.uint16 if chunk.n < 1 << 16 else np.int64), kind="stable")]
-                ranked, size = grams[order], np.where(n > 0, prefix_size(n), 0)
+                ranked, size = grams[order], np.where(n > 0, prefix_size(n) - 1 + shared_tokens(n), 0)
                 total = np.zeros(len(grams) + 1, np.uint64)
                 np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
                 columns = [
@@ -234,30 +245,40 @@ def _sized(a: str, b: str):
 
 
 def _open_groups(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of token groups that hold several components, with their component."""
+    """Members of token groups that hold several components, with the hubs of the first and the last component there."""
     if labels is None:
         marked = groups.withColumn("component", F.col("class"))
     else:
         marked = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("label", "class")).drop("label")
+    hub = F.struct("component", "degree", "class", "n")
     ends = marked.groupBy("token").agg(
-        F.min(F.struct("component", "class", "n")).alias("low"), F.max(F.struct("component", "class", "n")).alias("high")
+        F.min(F.struct("component", (-F.col("degree")).alias("order"), "class", "n")).alias("low"), F.max(hub).alias("high"),
     ).filter(F.col("low.component") < F.col("high.component"))
     return saved(marked.join(ends, "token"), "jaccard-open")
 
 
-def _towards_centres(members: DataFrame) -> DataFrame:
-    """class, centre: each member with the least class of the least component there, or for its own members the last of the last."""
-    centre = F.when(F.col("component") != F.col("low.component"), F.col("low")).otherwise(F.col("high"))
-    return (
-        members.withColumn("c", centre).filter(_sized("n", "c.n"))
-        .select("class", F.col("c.class").alias("centre")).filter("class <> centre")
-    )
+def _towards_hubs(members: DataFrame) -> DataFrame:
+    """class, centre: the hub of another component that a member shares most tokens with."""
+    centre = F.when(F.col("component") != F.col("low.component"), F.struct("low.class", "low.n")).otherwise(F.struct("high.class", "high.n"))
+    pairs = members.withColumn("c", centre).filter(_sized("n", "c.n")).groupBy("class", F.col("c.class").alias("centre")).agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.groupBy("class").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
+
+
+def _towards_first_hubs(groups: DataFrame) -> DataFrame:
+    """class, centre: for each class the hub of its token groups that it shares most tokens with."""
+    hubs = groups.groupBy("token").agg(F.max(F.struct("degree", (-F.col("class")).alias("order"), "n")).alias("hub"))
+    pairs = groups.join(hubs, "token").withColumn("centre", -F.col("hub.order")).filter((F.col("class") != F.col("centre")) & _sized("n", "hub.n"))
+    pairs = pairs.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.groupBy("class").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
 
 
 def _across(members: DataFrame) -> DataFrame:
+    """All pairs of different components that share as many prefix tokens as they must to reach the threshold."""
     a, b = (members.select("token", F.col("class").alias(f"class{k}"), F.col("component").alias(f"of{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     pairs = a.join(b, "token").filter((F.col("classa") > F.col("classb")) & (F.col("ofa") != F.col("ofb")) & _sized("na", "nb"))
-    return pairs.select(F.col("classa").alias("class"), F.col("classb").alias("centre")).distinct()
+    pairs = pairs.groupBy("classa", "classb", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    enough = F.col("shared") >= F.least(shared_tokens("na"), shared_tokens("nb"))
+    return pairs.filter(enough).select(F.col("classa").alias("class"), F.col("classb").alias("centre")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,11 +291,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = saved(small.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
     first = described.filter("n > 0").join(sets.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
     groups = saved(_token_groups(first.select(F.col("id").alias("class"), "n", "prefix")), "jaccard-groups")
+    groups = saved(groups.join(groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")), "class"), "jaccard-groups")
     labels, done = None, None
-    for step in ("nearest", "centres", "all"):
-        members = _open_groups(groups, labels)
-        pairs = _across(members) if step == "all" else _towards_centres(members)
-        pairs = pairs.groupBy("class").agg(F.min("centre").alias("centre")) if step == "nearest" else pairs.distinct()
+    for step in ("first hubs", "hubs", "hubs", "all"):
+        if step == "first hubs":
+            pairs = _towards_first_hubs(groups)
+        else:
+            members = _open_groups(groups, labels)
+            pairs = _across(members) if step == "all" else _towards_hubs(members)
         if done is not None:
             pairs = pairs.join(done, ["class", "centre"], "left_anti")
         pairs = saved(pairs, "jaccard-pairs")

@@ -39,7 +39,7 @@ from lossbook.llm.arrow import map_batches
 from lossbook.llm.words import chunks, mix
 
 WINDOW, BLOCK = 35, 18
-BATCH_WINDOWS = 2 << 20
+BATCH_WINDOWS = 1 << 20
 INDEX, ONCE, AGAIN, PLACES, KNOWN = range(5)
 SENT = "bucket int, kind int, a binary, b binary, c binary"
 
