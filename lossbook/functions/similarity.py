@@ -43,9 +43,10 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Of organisation normal forms: 1 if equal, else the kinder of word containment and letter sequence."""
+    """Of organisation normal forms: null if either is, 1 if equal, else the kinder of word containment and letter sequence."""
     shared = containment(F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " ")))
-    return F.when((a == "") | (b == ""), 0.0).when((a == b) | (shared >= 1.0), 1.0).otherwise(F.greatest(shared, sequence_ratio(a, b)))
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(~both, None).when((a == "") | (b == ""), 0.0).when((a == b) | (shared >= 1.0), 1.0).otherwise(F.greatest(shared, sequence_ratio(a, b)))
 
 
 def compared_names(a: Column, b: Column) -> Column:
