@@ -137,15 +137,15 @@ def _described(docs: DataFrame, sketch) -> DataFrame:
 
 
 def _token_groups(classes: DataFrame) -> DataFrame:
-    """token, class, n for prefix tokens that two classes or more have. classes: class, n, prefix."""
+    """token, class, place (in the class's prefix) for prefix tokens that two classes or more have. classes: class, prefix."""
     owned = Owned(n_buckets(classes))
 
     def send(batches):
         parts, held = ([], [], []), 0
         for batch in batches:
-            for key, n, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = np.frombuffer(prefix, np.uint64)
-                for part, new in zip(parts, (tokens, np.full(len(tokens), key), np.full(len(tokens), n)), strict=True):
+                for part, new in zip(parts, (tokens, np.full(len(tokens), key), np.arange(len(tokens))), strict=True):
                     part.append(new)
                 held += len(tokens)
                 if held >= BATCH_WINDOWS:
@@ -154,8 +154,8 @@ def _token_groups(classes: DataFrame) -> DataFrame:
         if held:
             yield from send_counted(owned, parts[0], *parts)
 
-    sent = map_batches(classes.select("class", "n", "prefix"), send, SENT)
-    return map_batches(sorted_by_bucket(sent), answer_places, ANSWERED).select("token", F.col("key").alias("class"), F.col("value").alias("n"))
+    sent = map_batches(classes.select("class", "prefix"), send, SENT)
+    return map_batches(sorted_by_bucket(sent), answer_places, ANSWERED).select("token", F.col("key").alias("class"), F.col("value").alias("place"))
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -273,12 +273,17 @@ def _towards_first_hubs(groups: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """All pairs of different components that share as many prefix tokens as they must to reach the threshold."""
-    a, b = (members.select("token", F.col("class").alias(f"class{k}"), F.col("component").alias(f"of{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, "token").filter((F.col("classa") > F.col("classb")) & (F.col("ofa") != F.col("ofb")) & _sized("na", "nb"))
-    pairs = pairs.groupBy("classa", "classb", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    enough = F.col("shared") >= F.least(shared_tokens("na"), shared_tokens("nb"))
-    return pairs.filter(enough).select(F.col("classa").alias("class"), F.col("classb").alias("centre")).distinct()
+    """Pairs of different components that share as many prefix tokens as they must to reach the threshold.
+
+    With ``o`` the overlap that their sizes ask for, ``k`` shared tokens must stand among the first ``n - o + k`` of both.
+    """
+    a, b = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n", "place")]) for k in "ab")
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * THRESHOLD / (100 + THRESHOLD))
+    k = F.least(shared_tokens("n_a"), shared_tokens("n_b"))
+    early = (F.col("place_a") < F.col("n_a") - overlap + k) & (F.col("place_b") < F.col("n_b") - overlap + k)
+    pairs = a.join(b, "token").filter((F.col("class_a") > F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _sized("n_a", "n_b") & early)
+    pairs = pairs.groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.filter(F.col("shared") >= k).select(F.col("class_a").alias("class"), F.col("class_b").alias("centre")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,8 +295,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     small = described.select("id", "n", "d1", "d2")
     sets = saved(small.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
     first = described.filter("n > 0").join(sets.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
-    groups = saved(_token_groups(first.select(F.col("id").alias("class"), "n", "prefix")), "jaccard-groups")
-    groups = saved(groups.join(groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")), "class"), "jaccard-groups")
+    groups = saved(_token_groups(first.select(F.col("id").alias("class"), "prefix")), "jaccard-tokens")
+    known = groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")).join(sets.groupBy("class").agg(F.max("n").alias("n")), "class")
+    groups = saved(groups.join(known, "class"), "jaccard-groups")
     labels, done = None, None
     for step in ("first hubs", "hubs", "hubs", "all"):
         if step == "first hubs":
