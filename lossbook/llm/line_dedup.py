@@ -38,7 +38,7 @@ def _key(line: Column) -> Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("h"), F.crc32(line).alias("c")))
 
 
-def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """host, key, pages, ratio of each line to drop."""
     keys = F.filter(F.array_distinct(F.transform(_lines(F.col(text)), _key)), lambda k: k.isNotNull())
     counts = (
@@ -54,7 +54,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, broadcast_lines: int = 100_000
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 100_000
 ) -> DataFrame:
     """The pages with their remaining text, ``n_lines`` and ``n_dropped`` (long)."""
     found = saved(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
@@ -79,8 +79,8 @@ WITH l AS (
 t AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 bad AS (
   SELECT l.source, list(l.line) AS lines
-  FROM (SELECT source, line, count(*) AS n FROM l GROUP BY source, line HAVING count(*) >= 3) l
-  JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n::DOUBLE / t.n > 0.05 GROUP BY l.source),
+  FROM (SELECT source, line, count(*) AS n FROM l GROUP BY source, line HAVING count(*) >= 5) l
+  JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n::DOUBLE / t.n > 0.1 GROUP BY l.source),
 k AS (
   SELECT d.*, string_split(text, chr(10)) AS parts,
          [y for y in string_split(text, chr(10)) if NOT list_contains(coalesce(bad.lines, []), trim(y, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))] AS kept

@@ -1,0 +1,268 @@
+"""The ten operators against brute force, and over awkward inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lossbook.llm import (
+    decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, toxicity,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id int, h string, bucket int, token string"
+
+
+def sentence(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi".split()) + str(rng.randrange(400)) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def texts() -> list[tuple[int | None, str | None, str | None]]:
+    """(doc_id, text, source): copies, near copies, shared passages, and awkward rows."""
+    rng = random.Random(5)
+    base = sentence(rng, 300)
+    passage = sentence(rng, 60)
+    out: list[tuple[int | None, str | None, str | None]] = [(i, sentence(rng, rng.randrange(20, 200)), f"s{i % 3}") for i in range(30)]
+    out += [(100 + i, base, "s0") for i in range(4)]
+    for i in range(6):
+        words = base.split()
+        for _ in range(i * 2):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        out.append((110 + i, " ".join(words), "s1"))
+    out += [(120 + i, sentence(rng, 80) + " " + passage + " " + sentence(rng, 40), "s2") for i in range(4)]
+    out += [(130, (sentence(rng, 40) + " ") * 2, None), (131, None, "s1"), (132, "", "s1"), (133, " \n\t ", None), (134, "one two three", "s0"), (135, "One  two\nTHREE", "s0")]
+    out += [(136, "É" * 50 + " " + "x" * 5000, "s2"), (137, sentence(rng, 30_000), "s2"), (None, sentence(rng, 50), "s0"), (100, base, "s0")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(d, t, "en", s, None if t is None else len(t), "k", 1, "h", 2, "t") for d, t, s in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text or "")
+
+
+def test_quality_counts(docs, texts, none):
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r) for r in quality_rules.clean_lines(docs).collect())
+    want = sorted(((d if d is not None else -1), t or "") for d, t, _ in texts)
+    assert len(got) == len(want)
+    for (_, r), (_, text) in zip(got, want, strict=True):
+        words = words_of(text)
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        counts, covered = Counter(windows), set()
+        for i, w in enumerate(windows):
+            if counts[w] > 1:
+                covered.update(range(i, i + 8))
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
+        )
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.clean_lines(none).count() == 0
+
+
+def test_quality_lines(spark):
+    good = "This is a plain sentence that says something about a thing and ends well.\n" * 1 + "Another plain sentence follows it with other words and also ends well."
+    junk = "Home | News | Sport | Weather | Contact | About\nACCEPT COOKIES AND READ THE COOKIE POLICY\nbuy### now*** cheap$$$ deal%%% now&&&"
+    rows = [(1, good), (2, junk + "\n" + junk.lower()), (3, good + "\n" + "Please accept cookies here."), (4, good + "\n\n" + "menu | home | login | help")]
+    got = {r.doc_id: r for r in quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].kept for k in (1, 2, 3, 4)] == [True, False, True, True]
+    assert got[1].clean_text == good and got[3].clean_text == good and got[4].clean_text == good + "\n"
+
+
+def test_substring_brute_force(docs, texts, none):
+    counts = Counter(tuple(w[i : i + 35]) for _, t, _ in texts for w in [words_of(t)] for i in range(len(w) - 34))
+    want = Counter()
+    for d, t, _ in texts:
+        words, gone = words_of(t), set()
+        for i in range(len(words) - 34):
+            if counts[tuple(words[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        want[(d, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == want
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def shingles(text: str | None) -> frozenset:
+    words = words_of((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+def jaccard_groups(rows) -> dict:
+    sets = {d: shingles(t) for d, t, _ in rows if d is not None}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def test_jaccard_brute_force(docs, texts, none):
+    want = jaccard_groups(texts)
+    rows = ngram_jaccard.jaccard_components(docs).collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
+    assert [r.component_id for r in rows if r.doc_id is None] == [None]
+    assert ngram_jaccard.jaccard_components(none).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.label for r in ngram_jaccard.components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+
+
+def test_line_dedup(spark, docs, none):
+    rows = [(i, f"line {i}\n  shared footer \nother {i % 2}", "a") for i in range(40)] + [(50, "shared footer", "b"), (51, None, "a"), (52, "", None)]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].text == "line 0" and (got[0].n_lines, got[0].n_dropped) == (3, 2)
+    assert got[50].text == "shared footer" and got[51].text is None and got[52].text == ""
+    few = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_lines=0)
+    assert {r.doc_id: r.text for r in few.collect()} == {k: r.text for k, r in got.items()}
+    assert line_dedup.drop_boilerplate(docs).count() == docs.count() and line_dedup.drop_boilerplate(none).count() == 0
+
+
+def test_fixity(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(5000)] + [(5000, None, None), (None, "u", "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    other = pages.filter("page_id <> 17").withColumn("html", F.when(F.col("page_id").isin(3, 4500), "bad").otherwise(F.col("html")))
+    other = other.unionByName(spark.createDataFrame([(6000, "u", "new")], pages.schema))
+    got = {(r.number, r.kind) for r in fixity.audit(fixity.warc_records(pages), fixity.warc_records(other)).collect()}
+    assert got == {(17, "missing"), (3, "altered"), (4500, "altered"), (6000, "extra")}
+    assert fixity.audit(fixity.warc_records(pages), fixity.warc_records(pages)).count() == 0
+    records = fixity.warc_records(pages).orderBy("archive", "number").collect()
+    assert all(b.offset == a.offset + a.length for a, b in zip(records, records[1:], strict=False) if a.archive == b.archive)
+
+
+def test_html():
+    page = """<html><head><title>T</title></head><body><nav><a href="/a">Home</a> <a href="/b">News</a></nav>
+    <div class="ad">Buy this thing now and save.</div><article><h1>Head&amp;line</h1><p>First   paragraph <b>bold</b>
+    text.<p>Second one<script>var x = "<p>no</p>";</script>.</p><div class="comments"><p>I disagree with all of it.</p></div></article>
+    <aside>Related things to read</aside><form>Name <input></form><footer>&copy; nobody</footer></body></html>"""
+    got = html_blocks.main_texts([page, None, "", "<p>", "<!-- only -->", page.replace("</article>", "")])
+    assert got[0] == "Head&line\n\nFirst paragraph bold text.\n\nSecond one\n\n."or got[0].startswith("Head&line\n\nFirst paragraph bold text.\n\nSecond one")
+    assert "disagree" not in got[0] and "nobody" not in got[0] and "Buy" not in got[0]
+    assert got[1:5] == ["", "", "", ""]
+
+
+def test_html_query(spark):
+    rows = [(1, "u", "<article><p>Some text here.</p></article>"), (2, None, None)]
+    got = html_blocks.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "Some text here.", 15), (2, "", 0)]
+
+
+def test_leaks(spark, docs, none):
+    rng = random.Random(9)
+    items = [(i, sentence(rng, 25) + "\n" + sentence(rng, 8)) for i in range(30)] + [(50, ""), (51, None), (52, "tiny item")]
+    plain = [(i, sentence(rng, 150)) for i in range(40)]
+    holding = [(100 + i, sentence(rng, 70) + " " + t.upper().replace("\n", " ") + "### " + sentence(rng, 70)) for i, t in items[:30]]
+    rows = spark.createDataFrame(plain + holding + [(300, None), (301, ""), (302, items[3][1].split("\n")[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(100 + i, i) for i, _ in items[:30]}
+    for leak in (decontaminate.Leak(), decontaminate.Leak(items_per_block=7)):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench, leak).collect()}
+        assert got == want
+    assert decontaminate.drop_leaks(rows, bench).count() == rows.count() - 30
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
+
+
+def test_wand_equals_brute_force():
+    rng = random.Random(3)
+    items = [(i, sentence(rng, rng.randrange(5, 40))) for i in range(60)]
+    leak = decontaminate.Leak(threshold=0.2, block=4)
+    index = decontaminate.build_index(items, leak)
+    import numpy as np
+
+    queries = [sorted(rng.sample(range(len(index.terms)), 40)) for _ in range(50)] + [index_terms(index, k) for k in range(20)]
+    passage = np.concatenate([np.full(len(q), n) for n, q in enumerate(queries)])
+    got = {(int(p), int(i)) for p, i, _ in zip(*decontaminate.block_max_wand(index, passage, np.concatenate([np.array(q) for q in queries]), 0.2), strict=True)}
+    owner = np.repeat(np.arange(len(index.terms)), [index.posting_first[index.block_first[t + 1]] - index.posting_first[index.block_first[t]] for t in range(len(index.terms))])
+    want = set()
+    for n, q in enumerate(queries):
+        score = Counter()
+        for at in np.flatnonzero(np.isin(owner, q)):
+            score[int(index.items[at])] += float(index.impacts[at])
+        want |= {(n, k) for k, s in score.items() if s >= 0.2 - 1e-9}
+    assert got == want
+
+
+def index_terms(index, item: int) -> list[int]:
+    import numpy as np
+
+    at = np.flatnonzero(index.items == item)
+    first = index.posting_first[index.block_first[:-1]]
+    return sorted({int(np.searchsorted(first, a, side="right") - 1) for a in at})
+
+
+def test_mix(spark, docs, texts, none):
+    got = mixing.mix_sources(docs).collect()
+    sizes = {}
+    for _, t, s in texts:
+        sizes[s] = sizes.get(s, 0) + len(words_of(t))
+    assert sum(r.size for r in got) == sum(sizes.values()) and all(r.source_size == sizes[r.source] for r in got)
+    targets = {r.source: r.target for r in got}
+    assert all(t <= 2 * sizes[s] + 1e-6 for s, t in targets.items())
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-3
+    for s, target in targets.items():
+        taken, most = sum(r.taken for r in got if r.source == s), max(r.size for r in got if r.source == s)
+        assert abs(taken - target) <= most
+    assert all(r.taken <= 2 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    assert mixing.mix_sources(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(500):
+        toxic, junk = i % 5 == 0, i % 4 == 1
+        words = sentence(rng, 60).split()
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(60)] = rng.choice(["idiot", "moron", "scum", "snarfle", "snarfling"])
+        if junk:
+            words = [w + rng.choice(["###", "***", "$$$"]) for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not junk), int(toxic)))
+    rows += [(1000, None), (1001, ""), (None, "nobody here")]
+    labels += [(2000, 1, 0), (None, 1, 1), (3, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("score, label", [(toxicity.score_toxicity, "toxic"), (quality_classifier.score_quality, "quality")])
+def test_classifiers_on_held_out_rows(labelled, score, label):
+    docs, labels = labelled
+    got = score(docs, labels)
+    assert got.count() == docs.count()
+    rows = got.join(labels.filter("doc_id is not null"), "doc_id").filter("held_out").collect()
+    right = sum(r.predicted == r[label] for r in rows if r[label] is not None)
+    assert len(rows) > 80 and right / len(rows) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.collect())
+    assert score(docs.limit(0), labels).count() == 0
+    assert {r.predicted for r in score(docs.limit(5), labels.limit(0)).collect()} == {0}
