@@ -32,7 +32,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(line_dedup.drop_boilerplate(docs), "text")
+    """A page that would lose all its lines is a copy rather than boilerplate and keeps them for the next stage to judge."""
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn("whole_text", F.col("text")))
+    text = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.col("whole_text"))
+    return _with_text(cleaned.withColumn("kept_text", text), "kept_text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
