@@ -38,7 +38,7 @@ from lossbook.llm.substring_dedup import ANSWERED, BATCH_WINDOWS, SENT, Owned, a
 from lossbook.llm.words import Chunk, chunks, mix, spans_hash
 
 GRAM, THRESHOLD = 5, 80
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 SLICE = 1 << 15
 BROADCAST_PAIRS = 200_000
 MEMBERS_PER_TASK = 512
@@ -83,7 +83,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, chunk in chunks(batch, lower=True):
                 grams, _ = shingle_sets(chunk)
-                total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                np.add.at(total, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         slices = [k for k in range(len(total) // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
         if slices:
             yield pa.RecordBatch.from_arrays(
@@ -106,7 +106,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for k, counts in rows:
         out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(counts, np.int64)
-    return out
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _described(docs: DataFrame, sketch) -> DataFrame:

@@ -41,12 +41,13 @@ from lossbook.llm.words import chunks, mix
 WINDOW, BLOCK = 35, 18
 BATCH_WINDOWS = 1 << 20
 INDEX, ONCE, AGAIN, PLACES, KNOWN = range(5)
+COUNTS = ONCE
 SENT = "bucket int, kind int, a binary, b binary, c binary"
 
 
 def n_buckets(df: DataFrame) -> int:
-    """A power of two, a few for each shuffle partition."""
-    return 1 << min(24, max(4, (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    """A power of two, one or two for each shuffle partition."""
+    return 1 << min(24, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()))
 
 
 def _pack(sorted_values: np.ndarray) -> bytes:
@@ -92,14 +93,16 @@ def send_counted(owned: Owned, rolling: list, blocks: list, keys: list, nth: lis
     own, key, block = (np.concatenate(x) for x in (blocks, keys, nth))
     order = np.argsort(own, kind="stable")
     own, key, block = own[order], key[order], block[order]
-    index = np.unique(own)
+    index = own[:0] if blocks is rolling else np.unique(own)  # where all windows are blocks, the counts name them already
     at = [owned.cuts(x) for x in (index, once, again, own)]
     for lo in range(0, owned.n, 64):
         rows = []
         for b in range(lo, min(lo + 64, owned.n)):
-            for kind, values in ((INDEX, index), (ONCE, once), (AGAIN, again)):
-                if at[kind][b] < at[kind][b + 1]:
-                    rows.append((b, kind, _pack(owned.short(values[at[kind][b] : at[kind][b + 1]])), None, None))
+            part = [_pack(owned.short(x[c[b] : c[b + 1]])) if c[b] < c[b + 1] else None for x, c in zip((index, once, again), at, strict=False)]
+            if part[0]:
+                rows.append((b, INDEX, part[0], None, None))
+            if part[1] or part[2]:
+                rows.append((b, COUNTS, part[1], part[2], None))
             i, j = at[3][b], at[3][b + 1]
             if i < j:
                 rows.append((b, PLACES, _pack(owned.short(own[i:j])), key[i:j].tobytes(), block[i:j].astype(np.int32).tobytes()))
@@ -140,28 +143,32 @@ ANSWERED = "token long, key long, value int"
 
 def answer_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token, key, value of the places whose hash was counted twice or more; batches come sorted by bucket and kind."""
-    bucket, index, counts = None, [], None
+    bucket, index, held, counts = None, [], [], None
     for batch in batches:
-        for b, kind, a, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, kind, first, second, third in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket:
-                bucket, index, counts = b, [], None
-            values = _unpack(a)
+                bucket, index, held, counts = b, [], [], None
             if kind == INDEX:
-                index.append(values)
+                index.append(_unpack(first))
                 continue
-            if counts is None:
-                index = np.unique(np.concatenate(index)) if index else np.zeros(0, np.uint32)
-                counts = np.zeros(len(index), np.int64)
-            if not len(index):
-                continue
-            slot = np.minimum(np.searchsorted(index, values), len(index) - 1)
-            if kind == PLACES:
-                good = counts[slot] > 1
+            if counts is None and (index or kind == PLACES):
+                every = [x for x, _ in held] or index
+                index, own = np.unique(np.concatenate(every), return_inverse=True) if every else (np.zeros(0, np.uint32), None)
+                counts = np.bincount(own, weights=np.concatenate([np.full(len(x), n) for x, n in held])) if held else np.zeros(len(index))
+            if kind == COUNTS:
+                for data, n in ((first, 1), (second, 2)):
+                    if data is not None and counts is None:
+                        held.append((_unpack(data), n))
+                    elif data is not None and len(index):
+                        values = _unpack(data)
+                        slot = np.minimum(np.searchsorted(index, values), len(index) - 1)
+                        np.add.at(counts, slot[index[slot] == values], n)
+            elif len(index):
+                values = _unpack(first)
+                good = counts[np.minimum(np.searchsorted(index, values), len(index) - 1)] > 1
                 token = (np.int64(b) << 32) | values[good].astype(np.int64)
-                columns = [pa.array(x) for x in (token, np.frombuffer(key, np.int64)[good], np.frombuffer(value, np.int32)[good])]
+                columns = [pa.array(x) for x in (token, np.frombuffer(second, np.int64)[good], np.frombuffer(third, np.int32)[good])]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "value"])
-            else:
-                np.add.at(counts, slot[index[slot] == values], kind)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
