@@ -109,5 +109,5 @@ def read_attachments(files: DataFrame, size: int = 40_000) -> DataFrame:
     )
     rows = files.withColumn("r", read("content_type", "content"))
     return rows.select(
-        "filename", "content_type", F.left(F.btrim("r.text"), F.lit(size)).alias("text"), F.col("r.status").alias("status"), F.sha2("content", 256).alias("checksum"), kind.alias("kind")
+        "filename", "content_type", F.left(F.btrim("r.text", F.lit(" \t\r\n")), F.lit(size)).alias("text"), F.col("r.status").alias("status"), F.sha2("content", 256).alias("checksum"), kind.alias("kind")
     )
