@@ -316,7 +316,7 @@ SELECT case_id, CASE WHEN told IN ({d.quoted(LINE_KEYWORDS)}) THEN told ELSE lin
     "assignment": _HANDLERS + """, hz AS (SELECT *, row_number() OVER w AS place, lead(blocked) OVER w AS nb, lead(score) OVER w AS ns FROM hy
   WINDOW w AS (PARTITION BY team, required_skill, severity, line_of_business, country ORDER BY blocked, score DESC, full_name, handler_id))
 SELECT te.case_id AS claim_id, CASE WHEN NOT blocked THEN handler_id END AS handler_id, te.team || ' queue' AS queue, CASE WHEN blocked THEN 'queue' WHEN te.required_skill IS NOT NULL THEN 'skill_based' ELSE 'workload' END AS strategy,
-  CASE WHEN NOT blocked THEN round(least(0.95::DOUBLE, 0.5::DOUBLE + (score - coalesce(CASE WHEN NOT nb THEN ns END, 0))), 2) ELSE 0::DOUBLE END AS confidence
+  CASE WHEN NOT blocked THEN floor((least(9500, 5000 + round(score * 10000)::BIGINT - round(coalesce(CASE WHEN NOT nb THEN ns END, 0) * 10000)::BIGINT) + 50) / 100.0::DOUBLE) / 100.0::DOUBLE ELSE 0::DOUBLE END AS confidence
 FROM te JOIN hz ON place = 1 AND te.team = hz.team AND te.required_skill IS NOT DISTINCT FROM hz.required_skill AND te.severity IS NOT DISTINCT FROM hz.severity
   AND te.line_of_business IS NOT DISTINCT FROM hz.line_of_business AND te.loss_country IS NOT DISTINCT FROM hz.country""",
     "over_authority": oracle_with("claims", "handlers") + " SELECT claim_id, handler_id, reserve_minor - authority_minor AS excess_minor FROM claims JOIN handlers USING (handler_id) WHERE reserve_minor > authority_minor",
