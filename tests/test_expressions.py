@@ -54,7 +54,7 @@ def test_sequences(spark):
     frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     got = frame.orderBy("i").select(similarity.lcs_length(F.col("a"), F.col("b")), similarity.sequence_ratio(F.col("a"), F.col("b")), similarity.sequence_ratio(F.col("b"), F.col("a"))).collect()
     for (a, b), (n, ratio, back) in zip(pairs, got, strict=True):
-        assert n == lcs(a, b) and 0 <= ratio <= 1 and ratio == pytest.approx(back)
+        assert n == lcs(a, b) == similarity._common_letters(a, b) and 0 <= ratio <= 1 and ratio == pytest.approx(back)
 
 
 def test_similarities(spark):
