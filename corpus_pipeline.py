@@ -32,8 +32,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A page that would lose all its lines is a copy rather than boilerplate and keeps them for the next stage to judge."""
-    cleaned = line_dedup.drop_boilerplate(docs.withColumn("whole_text", F.col("text")))
+    """A line on over a twentieth of a host's distinct pages, and on three, goes: copies of a page count once.
+
+    A page that would lose all its lines is a copy rather than boilerplate and keeps them for the next stage to judge.
+    """
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn("whole_text", F.col("text")), max_ratio=0.05, min_pages=3, copies_once=True)
     text = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.col("whole_text"))
     return _with_text(cleaned.withColumn("kept_text", text), "kept_text")
 

@@ -14,7 +14,7 @@ shuffle.
 
 Edge cases: null text stays null and counts as a page without lines; a null
 host is a host of its own; a line repeated on one page counts once; repeated
-rows are pages of their own; an empty table gives an empty result; other
+rows are pages of their own, or with ``copies_once`` one page for each whole text of a host; an empty table gives an empty result; other
 columns pass through, except that ``n_lines`` and ``n_dropped`` are replaced.
 """
 
@@ -38,14 +38,19 @@ def _key(line: Column) -> Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("h"), F.crc32(line).alias("c")))
 
 
-def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """host, key, pages, ratio of each line to drop."""
+def boilerplate_lines(
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, copies_once: bool = False
+) -> DataFrame:
+    """host, key, pages, ratio of each line to drop; with ``copies_once`` a host's pages of one whole text are one page."""
     keys = F.filter(F.array_distinct(F.transform(_lines(F.col(text)), _key)), lambda k: k.isNotNull())
+    pages = pages.select(F.col(host).alias("host"), keys.alias("keys"), F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
+    if copies_once:
+        pages = pages.groupBy("host", "h", "c").agg(F.first("keys").alias("keys"))
     counts = (
-        pages.select(F.col(host).alias("host"), F.explode(keys).alias("key"))
+        pages.select("host", F.explode("keys").alias("key"))
         .groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     )
-    totals = pages.groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("all_pages"))
+    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("all_pages"))
     return (
         counts.join(totals, F.col("host").eqNullSafe(F.col("of")))
         .withColumn("ratio", F.col("pages") / F.col("all_pages"))
@@ -54,10 +59,10 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 100_000
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 100_000, copies_once: bool = False
 ) -> DataFrame:
     """The pages with their remaining text, ``n_lines`` and ``n_dropped`` (long)."""
-    found = saved(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
+    found = saved(boilerplate_lines(pages, host, text, max_ratio, min_pages, copies_once), "boilerplate")
     per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_drop"))
     if found.count() <= broadcast_lines:
         per_host = F.broadcast(per_host)

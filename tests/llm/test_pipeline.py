@@ -27,3 +27,14 @@ def test_run(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_lines_of_a_large_host(spark):
+    """A line on 7% of a host's pages goes; copies of one page don't make its lines boilerplate; a host of four pages loses a line of all four."""
+    rng = random.Random(4)
+    copy = sentence(rng, 40) + "\n" + sentence(rng, 40)
+    rows = [(i, sentence(rng, 30) + ("\nshared footer of the site." if i < 14 else ""), "en", "a", 0) for i in range(200)]
+    rows += [(300 + i, copy, "en", "a", 0) for i in range(40)] + [(400 + i, f"{sentence(rng, 30)}\nfooter", "en", "b", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {d: copy if t == copy else t.split("\n")[0] for d, t, *_ in rows}
