@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import zipfile
 
@@ -75,3 +76,16 @@ def test_stream_drops_redelivery(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.message_id for r in spark.table("intake").collect()) == ["m1", "m2"]
+
+
+def test_events_of_any_length(spark):
+    """A drought of two years and an open-ended event take losses as short events do."""
+    events = spark.sql("SELECT * FROM VALUES (1, DATE'2000-01-01', DATE'2001-12-31'), (2, DATE'2001-06-01', DATE'2001-06-03'), (3, DATE'2001-01-01', DATE'9999-12-31'), (4, NULL, DATE'2001-06-03') AS t(event_id, start_date, end_date)")
+    cases = spark.sql("SELECT id AS case_id, timestamp_ntz'1999-12-01 12:00:00' + make_dt_interval(cast(id AS int)) AS date_of_loss FROM range(1000)")
+    want = set()
+    for i in range(1000):
+        day = datetime.date(1999, 12, 1) + datetime.timedelta(i)
+        for event, first, last in ((1, datetime.date(1999, 12, 30), datetime.date(2002, 1, 2)), (2, datetime.date(2001, 5, 30), datetime.date(2001, 6, 5)), (3, datetime.date(2000, 12, 30), datetime.date.max)):
+            want |= {(i, event)} if first <= day <= last else set()
+    got = [(r.case_id, r.event_id) for r in matching.event_window(cases, events).select("case_id", "event_id").collect()]
+    assert sorted(got) == sorted(want)
