@@ -3,7 +3,9 @@
 A page is cut at block tags into flat text blocks. Each block is described by its
 word count and link density, those of the block before and after it, and three
 cues: whether it stands inside page furniture (nav, footer, aside, form, or a
-container named so), inside an article, and whether it is a heading. A CART
+container named so; the names of body and main mark none, those of an
+article only comments, and a main or the articles of a container that no article
+came before end what names alone marked), inside an article, and whether it is a heading. A CART
 tree grown on ``LABELLED``, a small table of blocks labelled by hand, decides
 which blocks are main text. Those are joined in page order by two newlines.
 
@@ -44,12 +46,16 @@ FURNITURE_WORDS = frozenset(
     "promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags "
     "toolbar topbar warning widget".split()
 )
+#: Those that mark even an article that stands in no other.
+COMMENT_WORDS = frozenset(("comment", "reply"))
 ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
 CONTAINERS = FURNITURE_TAGS | frozenset("article aside div header main section ul ol li table td dl span p body".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _GONE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Name parts that say what a container holds or allows elsewhere, not what it is.
+_STATE = re.compile(r"\b(?:has|with|without)(?:[-_]+[a-zA-Z]+|[A-Z][a-z]+)|\b[a-zA-Z]+[-_]+(?:open|enabled)\b")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading")
 # Blocks labelled by hand, in the order of FEATURES, then 1 for main text.
@@ -137,15 +143,15 @@ def shares(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cues(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(furniture, article) as a container's tag and names say."""
-    furniture, article = tag in FURNITURE_TAGS, tag in ("article", "main")
+def _cues(tag: str, attributes: str, named: frozenset[str] = FURNITURE_WORDS) -> tuple[bool, bool, bool]:
+    """(furniture, furniture by its names alone, article) as a container's tag and names say; ``named``: the words that mark furniture in its names."""
+    furniture, by_name, article = tag in FURNITURE_TAGS, False, tag in ("article", "main")
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "itemprop"):
                 words = {w.lower() for w in _NAME.findall(value)} | {value.lower()}
-                furniture |= bool(words & FURNITURE_WORDS)
+                by_name |= bool(({w.lower() for w in _NAME.findall(_STATE.sub(" ", value))} | {value.lower()}) & named)
                 article |= bool(words & ARTICLE_WORDS)
             elif name == "role":
                 furniture |= value.lower() in FURNITURE_ROLES
@@ -154,14 +160,16 @@ def _cues(tag: str, attributes: str) -> tuple[bool, bool]:
                 furniture = True
             elif name == "style":
                 furniture |= "display:none" in value.replace(" ", "").lower()
-    return furniture, article and not furniture
+    return furniture, by_name, article and not (furniture or by_name)
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, furniture, article, heading) of each block, in page order."""
     page = _GONE.sub(lambda m: "<hr>" if m[1] and m[1].lower() != "head" else "", page)
     out: list[tuple[str, int, int, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = [("", False, False)]
+    # tag, inside furniture, inside furniture by names alone and the articles before it (-1: not inside), inside an article
+    open_: list[tuple[str, bool, int, bool]] = [("", False, -1, False)]
+    articles = 0
     parts: list[str] = []
     linked = words_linked = heading = 0
 
@@ -169,7 +177,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         nonlocal words_linked
         words = references.unescape("".join(parts)).split()
         if words:
-            out.append((" ".join(words), len(words), min(words_linked, len(words)), open_[-1][1], open_[-1][2], bool(heading)))
+            out.append((" ".join(words), len(words), min(words_linked, len(words)), open_[-1][1] or open_[-1][2] >= 0, open_[-1][3], bool(heading)))
         parts.clear()
         words_linked = 0
 
@@ -204,15 +212,21 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         del open_[k:]
                         break
             elif not m[3].rstrip().endswith("/"):
-                furniture, article = _cues(tag, m[3])
-                _, inside_furniture, inside_article = open_[-1]
+                outermost = tag == "article" and all(o[0] != "article" for o in open_)
+                furniture, by_name, article = _cues(tag, m[3], frozenset() if tag in ("body", "main") else COMMENT_WORDS if outermost else FURNITURE_WORDS)
+                _, inside_furniture, inside_named, inside_article = open_[-1]
                 if tag == "header":
                     furniture |= not inside_article
                 if tag == "p":
                     while open_[-1][0] == "p":
                         open_.pop()
-                    _, inside_furniture, inside_article = open_[-1]
-                open_.append((tag, inside_furniture or furniture, inside_article or article))
+                    _, inside_furniture, inside_named, inside_article = open_[-1]
+                if tag == "main" or (tag == "article" and inside_named == 0 and not by_name):
+                    inside_named = -1
+                elif by_name and inside_named < 0:
+                    inside_named = articles
+                open_.append((tag, inside_furniture or furniture, inside_named, inside_article or article))
+                articles += tag in ("article", "main")
     add(page[at:])
     flush()
     return out

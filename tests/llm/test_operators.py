@@ -170,6 +170,22 @@ def test_html():
     assert got[1:5] == ["", "", "", ""]
 
 
+@pytest.mark.parametrize(
+    "outer, inner",
+    [
+        ("<body class='home has-sidebar'>", "<article>"), ("<body><div class='content with-sidebar'>", "<div>"), ("<body>", "<article class='post comments-open share'>"),
+        ("<body class='modal'><div class='comments-area sidebar'>", "<article>"), ("<body><div class='widget'>", "<main class='menu'>"), ("<body id='login'>", "<main><article class='ad'>"),
+    ],
+)
+def test_html_names_of_pages_and_articles(outer, inner):
+    """Names of body, main, article and layout wrappers don't make the article furniture; containers named so still do."""
+    text = "The council met on Monday and agreed to repair the old bridge over the river before winter comes."
+    foot = "<div class='comments'><article class='comment'><p>I disagree with all of what was said here.</p></article></div>"
+    page = f"<html>{outer}{inner}<h1>The bridge</h1><p>{text}</p><p>{text}</p>{foot}</article></main></div>{foot}<aside><p>Related things to read</p></aside></body></html>"
+    assert html_blocks.main_texts([page]) == [f"The bridge\n\n{text}\n\n{text}"]
+    assert html_blocks.main_texts([f"<body><div class='sidebar'><p>{text}</p></div><article hidden><p>{text}</p></article></body>"]) == [""]
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<article><p>Some text here.</p></article>"), (2, None, None)]
     got = html_blocks.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
