@@ -13,6 +13,8 @@ occur in the document.
 
 The index is built for one block of at most ``items_per_block`` items at a time,
 a proven bound for what is broadcast; more items make more passes over the documents.
+Item frequencies, mean length and the passage length are those of the whole benchmark, counted
+by Spark, so scores don't depend on the blocks.
 
 Edge cases: null text has no terms and no hits; empty items match nothing; items
 with equal texts are each reported; repeated documents are each judged; an item
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossbook.llm.arrow import map_batches
+from lossbook.llm.store import saved
 from lossbook.llm.words import Chunk, chunks, spans_hash, terms as folded_terms
 
 K1, B = 1.2, 0.75
@@ -47,6 +50,17 @@ class Leak:
     items_per_block: int = 20_000
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Figures of the whole benchmark: items, their mean and largest number of terms, and items by term."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    holding: np.ndarray
+
+
 @dataclass
 class Index:
     """Inverted index of items: terms own ranges of block entries, block entries own ranges of postings, in item order."""
@@ -86,15 +100,24 @@ def _split(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
-def build_index(items: list[tuple[int, str]], leak: Leak) -> Index:
-    items = sorted(items, key=lambda x: (len(x[1] or ""), x[0]))  # blocks of items alike in length have tight bounds
+def _item_terms(items: list[tuple[int, str]]) -> list[np.ndarray]:
     batch = pa.record_batch([pa.array([t or "" for _, t in items], pa.string())], names=["text"])
     whole = [(c, c.hashes()) for c in (folded_terms(c) for _, c in chunks(batch))]
-    terms = [h[c.word_offsets[i] : c.word_offsets[i + 1]] for c, h in whole for i in range(c.n)]
-    mean = np.mean([len(t) for t in terms]) if terms else 1.0
+    return [h[c.word_offsets[i] : c.word_offsets[i + 1]] for c, h in whole for i in range(c.n)]
+
+
+def build_index(items: list[tuple[int, str]], leak: Leak, corpus: Corpus | None = None) -> Index:
+    """The index of a block of items by the figures of ``corpus``, or of these items where they are the whole benchmark."""
+    items = sorted(items, key=lambda x: (len(x[1] or ""), x[0]))  # blocks of items alike in length have tight bounds
+    terms = _item_terms(items)
     counts = [Counter(t.tolist()) for t in terms]
-    df = Counter(t for c in counts for t in c)
-    idf = {t: np.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    if corpus is None:
+        df = Counter(t for c in counts for t in c)
+        n_items, mean, longest = len(items), np.mean([len(t) for t in terms]) if terms else 1.0, max([len(t) for t in terms], default=1)
+    else:
+        df = dict(zip(corpus.terms.tolist(), corpus.holding.tolist(), strict=True))
+        n_items, mean, longest = corpus.items, corpus.mean, corpus.longest
+    idf = {t: np.log(1 + (n_items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     postings: dict[int, list[tuple[int, float]]] = {}
     for k, c in enumerate(counts):
         norm = K1 * (1 - B + B * len(terms[k]) / max(mean, 1e-9))
@@ -125,7 +148,7 @@ def build_index(items: list[tuple[int, str]], leak: Leak) -> Index:
         np.searchsorted(blocks // max(n_blocks, 1), np.arange(len(flat) + 1)), blocks % max(n_blocks, 1),
         np.maximum.reduceat(impacts, begin) if len(begin) else impacts, np.append(begin, len(items_)),
         np.maximum.reduceat(essential, begin) if len(begin) else essential, np.bincount(owner, weights=essential, minlength=len(flat)) > 0,
-        n_blocks, 2 * max([len(t) for t in terms], default=1), grams[0], grams[1],
+        n_blocks, 2 * longest, grams[0], grams[1],
     )
 
 
@@ -226,13 +249,46 @@ def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str
         yield [(r[0], r[1]) for r in rows]
 
 
+def benchmark_terms(benchmark: DataFrame) -> DataFrame:
+    """n_terms and the distinct terms (64-bit hashes) of each item."""
+
+    def run(batches):
+        for batch in batches:
+            for _, chunk in chunks(batch):
+                folded = folded_terms(chunk)
+                hashes, at = folded.hashes(), folded.word_offsets
+                found = [np.unique(hashes[at[i] : at[i + 1]]).view(np.int64) for i in range(folded.n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate(found), pa.int64()))],
+                    names=["n_terms", "terms"],
+                )
+
+    return map_batches(benchmark.filter("item_id is not null").select("text"), run, "n_terms long, terms array<long>")
+
+
+def corpus_figures(benchmark: DataFrame) -> Callable[[list[tuple[int, str]]], Corpus]:
+    """Counts once over all items with Spark; the function it gives looks up the terms of one block."""
+    spark = benchmark.sparkSession
+    items = saved(benchmark_terms(benchmark), "benchmark-terms")
+    n, mean, longest = items.agg(F.count(F.lit(1)), F.mean("n_terms"), F.max("n_terms")).first()
+    holding = saved(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("holding")), "benchmark-holding")
+
+    def of(block: list[tuple[int, str]]) -> Corpus:
+        mine = np.unique(np.concatenate([*_item_terms(block), np.zeros(0, np.uint64)]))
+        found = holding.join(F.broadcast(spark.createDataFrame(pa.table({"term": mine.view(np.int64)}))), "term").toArrow()
+        return Corpus(n, mean, longest, found["term"].to_numpy().view(np.uint64), found["holding"].to_numpy())
+
+    return of
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id, score, question_overlap, answer_overlap: one row for each document and item that leaked into it."""
     spark: SparkSession = docs.sparkSession
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
+    figures = corpus_figures(benchmark) if benchmark.limit(leak.items_per_block + 1).count() > leak.items_per_block else None
     for items in item_blocks(benchmark, leak.items_per_block):
-        index = spark.sparkContext.broadcast(build_index(items, leak))
+        index = spark.sparkContext.broadcast(build_index(items, leak, figures and figures(items)))
 
         def run(batches, index=index):
             for batch in batches:

@@ -207,6 +207,24 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_scores_of_edited_copies_for_any_block_size(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.choice(["common", "usual", "often"]) if rng.random() < 0.3 else w for w in sentence(rng, 12 + i).split()) + "\n" + sentence(rng, 8)) for i in range(23)]
+    rows = []
+    for i, text in items:
+        for edits in range(12):
+            words = text.replace("\n", " ").split()
+            for at in rng.sample(range(len(words) - 8), edits):
+                words[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((100 * i + edits, sentence(rng, 60) + " " + " ".join(words) + " " + sentence(rng, 60)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.leaks(docs, bench).collect()}
+    assert {s[0] < 0.99 for s in whole.values()} == {True, False} and len(whole) < len(rows)
+    for size in (1, 5, 22):
+        got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.leaks(docs, bench, decontaminate.Leak(items_per_block=size)).collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in got)
+
+
 def test_wand_equals_brute_force():
     rng = random.Random(3)
     items = [(i, sentence(rng, rng.randrange(5, 40))) for i in range(60)]
