@@ -8,20 +8,16 @@ import re
 from collections import Counter
 
 import pytest
+from helpers import WORD, jaccard_groups, sentence, words_of
 from pyspark.sql import functions as F
 
 from lossbook.llm import (
     decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, toxicity,
 )
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id int, h string, bucket int, token string"
 
 
-def sentence(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi".split()) + str(rng.randrange(400)) for _ in range(n)) + "."
-
-
 @pytest.fixture(scope="module")
 def texts() -> list[tuple[int | None, str | None, str | None]]:
     """(doc_id, text, source): copies, near copies, shared passages, and awkward rows."""
@@ -52,10 +48,6 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text or "")
-
-
 def test_quality_counts(docs, texts, none):
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r) for r in quality_rules.clean_lines(docs).collect())
     want = sorted(((d if d is not None else -1), t or "") for d, t, _ in texts)
@@ -100,28 +92,6 @@ def test_substring_brute_force(docs, texts, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def shingles(text: str | None) -> frozenset:
-    words = words_of((text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
-
-
-def jaccard_groups(rows) -> dict:
-    sets = {d: shingles(t) for d, t, _ in rows if d is not None}
-    parent = {d: d for d in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
-
-
 def test_jaccard_brute_force(docs, texts, none):
     want = jaccard_groups(texts)
     rows = ngram_jaccard.jaccard_components(docs).collect()

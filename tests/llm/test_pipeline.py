@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from test_operators import jaccard_groups, sentence
+from helpers import jaccard_groups, sentence
 
 import corpus_pipeline
 
