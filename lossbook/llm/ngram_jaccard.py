@@ -1,28 +1,34 @@
 """Jaccard join on word n-grams with prefix filters under several global orders.
 
 A document's set holds the hashes of its distinct ``GRAM``-word shingles. Two
-sets at or above the threshold ``t`` share a token among their first
-``n - ceil(t * n) + 1`` under *every* global order of tokens, and ``k`` tokens
-among ``k - 1`` more. Order 1 is by document frequency, rarest first (read from a
-sketch of fixed size that counts all documents), so common shingles make no
-candidates; orders 2 and 3 are by hash, upwards and downwards. ``SHARED`` common
-prefix tokens under order 1 make a candidate; prefixes under orders 2 and 3 must
-meet too before a pair is verified on its full sets.
+sets at or above the threshold ``t`` must overlap in ``o = t / (1 + t) * (n + m)``
+tokens, so they share a token among their first ``n - o + 1`` and ``m - o + 1`` under
+*every* global order of tokens, and ``k`` tokens among ``k - 1`` more. All three
+orders put rare shingles first, so common ones make no candidates: order 1 by
+estimated document frequency, orders 2 and 3 by its magnitude, then by two
+opposite orders of a hash. Frequencies come from a sketch of fixed size that
+counts all documents; where ``load`` other shingles fall on a slot its error is about the square
+root of the load, so shingles held by a few times that many documents still come last.
+
+Candidates meet by a shared prefix token under order 1. Before any text is read, the
+prefixes of a pair are compared: ``SHARED`` tokens must be common under
+order 1 (or all that a small set must share), and the prefixes must meet under orders 2 and 3 too. Only what passes all
+three filters is verified on its full sets.
 
 Copies and clusters: documents with equal sets are one class. Each class is first
 tried against the hub it shares most prefix tokens with (the member of a token
 group whose own tokens are shared most often, as an original's are), linked
 ones are merged, and only token groups that still hold several components go on:
-twice to hubs of other components, then to all pairs across components that are
-left. A group of near copies so costs about one comparison a member, and no link
-between components is lost. Centres with many members are salted; token groups
-stream through sorted buckets.
+twice to hubs of other components, then to pairs across components: in each token group the
+members outside its largest component meet the others at the places that their sizes allow. A group of near copies so
+costs about one comparison a member, and no link between components is lost.
+Centres with many members are salted; token groups stream through sorted buckets.
 
 Edge cases: null text, empty text and text without words have no shingles and
 link with nothing (component_id is their own doc_id); fewer words than ``GRAM``
-make one shingle of all of them; rows that share a doc_id are one node; a null
-doc_id has a null component; empty tables give no rows; other columns are
-ignored. Sets are compared by 64-bit hashes.
+make one shingle of all of them; rows that share a doc_id are one node, which links where any of its
+texts does; a null doc_id has a null component; empty tables give no rows; other columns are
+ignored, whatever their names. Keys are whole numbers. Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,10 +44,10 @@ from lossbook.llm.substring_dedup import ANSWERED, BATCH_WINDOWS, SENT, Owned, a
 from lossbook.llm.words import Chunk, chunks, mix, spans_hash
 
 GRAM, THRESHOLD = 5, 80
-SKETCH_BITS = 20
-SLICE = 1 << 15
+SKETCH_BITS = 22
+SLICE = 1 << 17
 BROADCAST_PAIRS = 200_000
-MEMBERS_PER_TASK = 512
+MEMBERS_PER_TASK = 32
 #: Prefix tokens that a candidate pair must share, or all that a small set must share.
 SHARED = 8
 
@@ -69,14 +75,20 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def shared_tokens(n):
-    """Prefix tokens under order 1 that a set of n must share with any set it links to; n: a number, an array or a column name."""
-    if isinstance(n, str):
-        return F.least(F.lit(SHARED), F.ceil(F.col(n) * THRESHOLD / 100))
+    """Prefix tokens under order 1 that a set of n must share with any set it links to; n: a number or an array."""
     return np.minimum(SHARED, -(-THRESHOLD * n // 100))
 
 
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
     """Documents by shingle, counted in 2**SKETCH_BITS slots: a bound that doesn't grow with the input."""
+    codec, width = "zstd", SLICE * 4
+
+    def packed(slices: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+        data = [pa.compress(c.astype(np.uint32).tobytes(), codec=codec, asbytes=True) for c in counts]
+        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["slice", "counts"])
+
+    def unpacked(data: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(data, decompressed_size=width, codec=codec, asbytes=True), np.uint32)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -86,54 +98,65 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
                 np.add.at(total, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         slices = [k for k in range(len(total) // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
         if slices:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slices, pa.int32()), pa.array([total[k * SLICE : (k + 1) * SLICE].tobytes() for k in slices], pa.binary())], names=["slice", "counts"]
-            )
+            yield packed(slices, [total[k * SLICE : (k + 1) * SLICE] for k in slices])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(counts, np.uint32).astype(np.int64)
-                sums[k] = sums[k] + part if k in sums else part
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + unpacked(data).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"]
-            )
+            yield packed(list(sums), [np.minimum(x, np.iinfo(np.uint32).max) for x in sums.values()])
 
     parts = map_batches(docs.select("text"), count, "slice int, counts binary")
-    rows = map_batches(parts.repartition("slice"), add, "slice int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for k, counts in rows:
-        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(counts, np.int64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for k, data in map_batches(parts.repartition("slice"), add, "slice int, counts binary").collect():
+        out[k * SLICE : (k + 1) * SLICE] = unpacked(bytes(data))
+    return out
+
+
+def _ranked(doc: np.ndarray, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Positions by document, then rank (below 2**16), then the upper bits of tie."""
+    if not len(doc) or doc[-1] >= 1 << 16:
+        return np.lexsort((tie, rank, doc))
+    return np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (rank.astype(np.uint64) << np.uint64(32)) | (tie >> np.uint64(32)))
 
 
 def _described(docs: DataFrame, sketch) -> DataFrame:
-    """id, n, d1, d2 (a 128-bit digest of the set) and its prefix under order 1."""
+    """id, n, d1, d2 (a 128-bit digest of the set), its prefix under order 1, and 32 bits of the prefix tokens of each order."""
+    names = ["id", "n", "d1", "d2", "prefix", "p1", "p2", "p3"]
 
     def run(batches):
+        load = np.median(sketch.value)
         for batch in batches:
             for row, chunk in chunks(batch, lower=True):
                 grams, offsets = shingle_sets(chunk)
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(chunk.n), n)
                 common = sketch.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(mix(grams))
-                order = order[np.argsort(common[order], kind="stable")]
-                order = order[np.argsort(doc[order].astype(np.uint16 if chunk.n < 1 << 16 else np.int64), kind="stable")]
-                ranked, size = grams[order], np.where(n > 0, prefix_size(n) - 1 + shared_tokens(n), 0)
+                magnitude = np.log2(1 + np.maximum(common - load - 3 * np.sqrt(load), 0)).astype(np.int64)
+                tie = mix(grams ^ np.uint64(0xA0761D6478BD642F))
+                orders = (
+                    _ranked(doc, np.minimum(common, 0xFFFF), mix(grams)), _ranked(doc, magnitude, tie), _ranked(doc, magnitude // 2, ~tie),
+                )
+                depth, deep = (np.where(n > 0, prefix_size(n) + more, 0) for more in (0, shared_tokens(n) - 1))
+                inside = np.arange(len(grams)) - offsets[:-1][doc]
+                lists = []
+                for order, size in zip(orders, (deep, depth, depth), strict=True):
+                    ends = np.concatenate([[0], np.cumsum(np.minimum(size, n))]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(ends, pa.array(grams[order][inside < size[doc]].astype(np.uint32).view(np.int32))))
+                ranked = grams[orders[0]]
                 total = np.zeros(len(grams) + 1, np.uint64)
                 np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
                 columns = [
                     batch.column(0).slice(row, chunk.n), pa.array(n, pa.int64()),
                     pa.array(spans_hash(grams, offsets[:-1], offsets[1:]).view(np.int64)),
                     pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)),
-                    pa.array([ranked[o : o + s].tobytes() for o, s in zip(offsets[:-1], size, strict=True)], pa.binary()),
+                    pa.array([ranked[o : o + s].tobytes() for o, s in zip(offsets[:-1], depth, strict=True)], pa.binary()), *lists,
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(docs.select("id", "text"), run, "id long, n long, d1 long, d2 long, prefix binary")
+    return map_batches(docs.select("id", "text"), run, "id long, n long, d1 long, d2 long, prefix binary, p1 array<int>, p2 array<int>, p3 array<int>")
 
 
 def _token_groups(classes: DataFrame) -> DataFrame:
@@ -158,14 +181,30 @@ def _token_groups(classes: DataFrame) -> DataFrame:
     return map_batches(sorted_by_bucket(sent), answer_places, ANSWERED).select("token", F.col("key").alias("class"), F.col("value").alias("place"))
 
 
+def _overlap(a: str, b: str):
+    """Tokens that sets of a and b must have in common."""
+    return F.ceil((F.col(a) + F.col(b)) * THRESHOLD / (100 + THRESHOLD))
+
+
+def _filtered(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """Of the pairs (class, centre), those whose prefixes meet under every order, deep enough under order 1; no text is read.
+
+    With ``o`` the overlap that the sizes ask for, ``k`` shared tokens stand among the first ``n - o + k`` of both sets.
+    """
+    wanted = saved(pairs.select("class").unionByName(pairs.select(F.col("centre").alias("class"))).distinct(), "jaccard-wanted")
+    prefixes = described.filter("n > 0").select(F.col("id").alias("class"), "n", "p1", "p2", "p3").join(wanted, "class", "left_semi")
+    a, b = (prefixes.select(F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "p1", "p2", "p3")]) for k in ("class", "centre"))
+    both = pairs.join(a, "class").join(b, "centre").withColumn("o", _overlap("n_class", "n_centre"))
+    k = F.least(F.lit(SHARED), F.ceil(F.least("n_class", "n_centre") * THRESHOLD / 100))
+    first = lambda p, more: [F.slice(f"{p}_{x}", F.lit(1), F.greatest(F.col(f"n_{x}") - F.col("o") + more, F.lit(0)).cast("int")) for x in ("class", "centre")]
+    meet = (F.size(F.array_intersect(*first("p1", k))) >= k) & F.arrays_overlap(*first("p2", 1)) & F.arrays_overlap(*first("p3", 1))
+    return both.filter(_sized("n_class", "n_centre")).filter(meet).select("class", "centre").distinct()
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Orders 2 and 3 (hash upwards and downwards) as filters, then the sets themselves; a and b are sorted."""
+    """a and b are sorted."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
         return False
-    p, q = prefix_size(len(a)), prefix_size(len(b))
-    for x, y in ((a[:p], b[:q]), (a[-p:], b[-q:])):
-        if not (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any():
-            return False
     common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * common >= THRESHOLD * (len(a) + len(b) - common)
 
@@ -241,7 +280,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _sized(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+    """False where sizes rule a link out; a null size (a doc_id with several sets) rules nothing out."""
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), True).otherwise(F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD)
 
 
 def _open_groups(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -273,17 +313,19 @@ def _towards_first_hubs(groups: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share as many prefix tokens as they must to reach the threshold.
+    """Pairs of different components with a token at places where a linked pair may share its first one.
 
-    With ``o`` the overlap that their sizes ask for, ``k`` shared tokens must stand among the first ``n - o + k`` of both.
+    One side of a pair is outside the token group's largest component, so what has merged already never meets itself.
     """
-    a, b = (members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n", "place")]) for k in "ab")
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * THRESHOLD / (100 + THRESHOLD))
-    k = F.least(shared_tokens("n_a"), shared_tokens("n_b"))
-    early = (F.col("place_a") < F.col("n_a") - overlap + k) & (F.col("place_b") < F.col("n_b") - overlap + k)
-    pairs = a.join(b, "token").filter((F.col("class_a") > F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _sized("n_a", "n_b") & early)
-    pairs = pairs.groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.filter(F.col("shared") >= k).select(F.col("class_a").alias("class"), F.col("class_b").alias("centre")).distinct()
+    sizes = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("largest"))
+    marked = saved(members.join(largest, "token").select("token", "class", "component", "n", "place", (F.col("component") != F.col("largest")).alias("small")), "jaccard-across")
+    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n", "place", "small")]) for k in "ab")
+    o = _overlap("n_a", "n_b")
+    early = F.coalesce((F.col("place_a") <= F.col("n_a") - o) & (F.col("place_b") <= F.col("n_b") - o), F.lit(True))
+    once = F.col("small_a") & (~F.col("small_b") | (F.col("class_a") > F.col("class_b")))
+    pairs = a.filter("small_a").join(b, "token").filter(once & (F.col("component_a") != F.col("component_b")) & _sized("n_a", "n_b") & early)
+    return pairs.select(F.greatest("class_a", "class_b").alias("class"), F.least("class_a", "class_b").alias("centre")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,7 +338,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = saved(small.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
     first = described.filter("n > 0").join(sets.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
     groups = saved(_token_groups(first.select(F.col("id").alias("class"), "prefix")), "jaccard-tokens")
-    known = groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")).join(sets.groupBy("class").agg(F.max("n").alias("n")), "class")
+    own = first.groupBy(F.col("id").alias("class")).agg(F.when(F.min("n") == F.max("n"), F.max("n")).alias("n"))
+    known = groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")).join(own, "class")
     groups = saved(groups.join(known, "class"), "jaccard-groups")
     labels, done = None, None
     for step in ("first hubs", "hubs", "hubs", "all"):
@@ -308,11 +351,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         if done is not None:
             pairs = pairs.join(done, ["class", "centre"], "left_anti")
         pairs = saved(pairs, "jaccard-pairs")
-        counted = pairs.count()
+        done = pairs if done is None else done.unionByName(pairs)
+        chosen = saved(_filtered(pairs, described), "jaccard-candidates")
+        counted = chosen.count()
         if not counted:
             continue
-        links = _verified(docs, pairs, counted)
-        done = pairs if done is None else done.unionByName(pairs)
+        links = _verified(docs, chosen, counted)
         labels = _merged(labels, links)
     out = small.join(sets, ["d1", "d2", "n"], "left")
     if labels is None:

@@ -101,6 +101,32 @@ def test_jaccard_brute_force(docs, texts, none):
     assert ngram_jaccard.jaccard_components(none).count() == 0
 
 
+def test_near_copies_that_mostly_do_not_link(spark):
+    """One group of near copies without its original: few pairs reach the threshold, and none of those may be lost."""
+    rng = random.Random(8)
+    base = sentence(rng, 150).split()
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(2, 10)):
+            words[rng.randrange(150)] = f"edit{rng.randrange(10**7)}"
+        rows.append((i, " ".join(words + [f"tail{rng.randrange(10**7)}"] * rng.randrange(3)), None))
+    rows += [(500, rows[0][1].upper(), None), (501, rows[3][1] + " one more", None), (502, sentence(rng, 200_000), None)]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_groups(rows)
+
+
+def test_rows_with_one_doc_id_and_clashing_columns(spark):
+    """Rows that share a doc_id are one node that links where any of its texts does."""
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a + " more"), (4, b), (9, c)]
+    columns = ("id", "n", "class", "centre", "prefix", "label", "node", "component")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit("x").alias(c) for c in columns])
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {(5, 3), (3, 3), (4, 3), (9, 9)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in ngram_jaccard.components(edges).collect()}
