@@ -123,7 +123,10 @@ def _ranked(doc: np.ndarray, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, sketch) -> DataFrame:
-    """id, n, d1, d2 (a 128-bit digest of the set), its prefix under order 1, and 32 bits of the prefix tokens of each order."""
+    """id, n, d1, d2 (a 128-bit digest of the set), its prefix under order 1, and of each order's prefix tokens 32 bits (order 1) or 16.
+
+    p1 is empty where two of its tokens have the same 32 bits, so that counts never fall short.
+    """
     names = ["id", "n", "d1", "d2", "prefix", "p1", "p2", "p3"]
 
     def run(batches):
@@ -142,9 +145,15 @@ def _described(docs: DataFrame, sketch) -> DataFrame:
                 depth, deep = (np.where(n > 0, prefix_size(n) + more, 0) for more in (0, shared_tokens(n) - 1))
                 inside = np.arange(len(grams)) - offsets[:-1][doc]
                 lists = []
-                for order, size in zip(orders, (deep, depth, depth), strict=True):
-                    ends = np.concatenate([[0], np.cumsum(np.minimum(size, n))]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(ends, pa.array(grams[order][inside < size[doc]].astype(np.uint32).view(np.int32))))
+                for order, size, width in zip(orders, (deep, depth, depth), (4, 2, 2), strict=True):
+                    tokens = grams[order][inside < size[doc]].astype(f"u{width}")
+                    of = doc[inside < size[doc]]
+                    if width == 4:
+                        pairs, seen = np.unique((of.astype(np.uint64) << np.uint64(32)) | tokens, return_counts=True)
+                        good = ~np.isin(of, (pairs[seen > 1] >> np.uint64(32)).astype(np.int64))
+                        tokens, of = tokens[good], of[good]
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=chunk.n))]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(ends, pa.array(tokens.view(f"i{width}"))))
                 ranked = grams[orders[0]]
                 total = np.zeros(len(grams) + 1, np.uint64)
                 np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
@@ -156,7 +165,7 @@ def _described(docs: DataFrame, sketch) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(docs.select("id", "text"), run, "id long, n long, d1 long, d2 long, prefix binary, p1 array<int>, p2 array<int>, p3 array<int>")
+    return map_batches(docs.select("id", "text"), run, "id long, n long, d1 long, d2 long, prefix binary, p1 array<int>, p2 array<smallint>, p3 array<smallint>")
 
 
 def _token_groups(classes: DataFrame) -> DataFrame:
@@ -191,13 +200,16 @@ def _filtered(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
     With ``o`` the overlap that the sizes ask for, ``k`` shared tokens stand among the first ``n - o + k`` of both sets.
     """
-    wanted = saved(pairs.select("class").unionByName(pairs.select(F.col("centre").alias("class"))).distinct(), "jaccard-wanted")
-    prefixes = described.filter("n > 0").select(F.col("id").alias("class"), "n", "p1", "p2", "p3").join(wanted, "class", "left_semi")
-    a, b = (prefixes.select(F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "p1", "p2", "p3")]) for k in ("class", "centre"))
+    prefixes = described.filter("n > 0")
+    a, b = (
+        prefixes.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "p1", "p2", "p3")]).join(pairs.select(k).distinct(), k, "left_semi")
+        for k in ("class", "centre")
+    )
     both = pairs.join(a, "class").join(b, "centre").withColumn("o", _overlap("n_class", "n_centre"))
     k = F.least(F.lit(SHARED), F.ceil(F.least("n_class", "n_centre") * THRESHOLD / 100))
     first = lambda p, more: [F.slice(f"{p}_{x}", F.lit(1), F.greatest(F.col(f"n_{x}") - F.col("o") + more, F.lit(0)).cast("int")) for x in ("class", "centre")]
-    meet = (F.size(F.array_intersect(*first("p1", k))) >= k) & F.arrays_overlap(*first("p2", 1)) & F.arrays_overlap(*first("p3", 1))
+    counted = (F.size("p1_class") == 0) | (F.size("p1_centre") == 0) | (F.size(F.array_intersect(*first("p1", k))) >= k)
+    meet = counted & F.arrays_overlap(*first("p2", 1)) & F.arrays_overlap(*first("p3", 1))
     return both.filter(_sized("n_class", "n_centre")).filter(meet).select("class", "centre").distinct()
 
 
@@ -218,34 +230,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, counted: int) -> DataFrame:
     asked = F.broadcast(asked) if counted <= BROADCAST_PAIRS else asked
     texts = docs.join(asked, docs["id"] == asked["class"]).select("class", "centre", "salt", "role", "text")
 
-    def sets(batches):
-        for batch in batches:
-            for row, chunk in chunks(batch, lower=True):
-                grams, offsets = shingle_sets(chunk)
-                own = [batch.column(k).slice(row, chunk.n) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array([grams[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())],
-                    names=["class", "centre", "salt", "role", "tokens"],
-                )
-
     def judge(batches):
         at, centres = None, []
         for batch in batches:
             good: list[tuple[int, int]] = []
-            for key, centre, salt, role, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (centre, salt):
-                    at, centres = (centre, salt), []
-                tokens = np.frombuffer(tokens, np.uint64)
-                if role == 0:
-                    centres.append(tokens)
-                elif any(_alike(tokens, c) for c in centres):
-                    good.append((key, centre))
+            keys, at_centre, salt, role = (batch.column(k).to_numpy() for k in range(4))
+            for row, chunk in chunks(batch, lower=True):
+                grams, offsets = shingle_sets(chunk)
+                for i in range(chunk.n):
+                    tokens, place = grams[offsets[i] : offsets[i + 1]], (at_centre[row + i], salt[row + i])
+                    if at != place:
+                        at, centres = place, []
+                    if role[row + i] == 0:
+                        centres.append(tokens)
+                    elif any(_alike(tokens, c) for c in centres):
+                        good.append((keys[row + i], at[0]))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good, strict=True)], names=["class", "centre"])
 
-    packed = map_batches(texts, sets, "class long, centre long, salt int, role int, tokens binary")
-    packed = packed.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return saved(map_batches(packed, judge, "class long, centre long"), "jaccard-links")
+    met = texts.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    return saved(map_batches(met, judge, "class long, centre long"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
