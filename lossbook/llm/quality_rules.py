@@ -11,8 +11,8 @@ words inside repeated 8-word windows) or if failing lines hold more than
 Edge cases: null text is an empty text; an empty text has no lines, zero counts
 and fails ``min_words``; lines without a word are kept and never count; repeated
 rows are judged one by one; other columns of the input pass through untouched
-(a clashing output name replaces the input's column). One pass, no shuffle;
-memory is bounded by a few megabytes of text or the longest single text.
+(a clashing output name replaces the input's column). A row's verdict depends on that row alone. One pass, no shuffle;
+memory is about 75 bytes for each byte of a chunk of half a megabyte, or of the longest single text where that is longer.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from lossbook.llm.arrow import map_batches
 from lossbook.llm.words import chunks, per_doc, spans_hash
 
-# Phrases that mark page furniture rather than prose.
+# Phrases that mark page furniture rather than prose, in the four languages of the corpus.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -44,6 +44,30 @@ BOILERPLATE = (
     "share on twitter",
     "skip to content",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "verwendet cookies",
+    "datenschutzerkl",
+    "nutzungsbedingungen",
+    "newsletter abonnieren",
+    "zum inhalt springen",
+    "javascript aktivieren",
+    "tous droits réservés",
+    "accepter les cookies",
+    "utilise des cookies",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "abonnez-vous à notre newsletter",
+    "aller au contenu",
+    "activer javascript",
+    "todos los derechos reservados",
+    "aceptar las cookies",
+    "utiliza cookies",
+    "política de privacidad",
+    "condiciones de uso",
+    "suscríbete a nuestro boletín",
+    "ir al contenido",
+    "habilitar javascript",
 )
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -89,12 +113,15 @@ def _repeat_words(chunk, window: int) -> np.ndarray:
     return per_doc(np.cumsum(edge)[:-1] > 0, chunk.word_offsets)
 
 
-def _positions(text: bytes):
-    for phrase in BOILERPLATE:
-        at = text.find(phrase.encode())
+def _places(text: bytes) -> np.ndarray:
+    """First and last byte of every phrase in the text."""
+    out = []
+    for phrase in (p.encode() for p in BOILERPLATE):
+        at = text.find(phrase)
         while at >= 0:
-            yield at
-            at = text.find(phrase.encode(), at + 1)
+            out.append((at, at + len(phrase) - 1))
+            at = text.find(phrase, at + 1)
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def judge(chunk, rules: LineRules) -> dict[str, np.ndarray]:
@@ -129,8 +156,8 @@ def judge(chunk, rules: LineRules) -> dict[str, np.ndarray]:
     last[line_of_word] = chunk.ends - 1
     furniture = np.zeros(len(starts), bool)
     text = chunk.raw.tobytes()
-    hits = list(_positions(text.lower()))
-    furniture[np.searchsorted(starts, np.array(hits, np.int64), side="right") - 1] = True
+    first, last_byte = (np.searchsorted(starts, x, side="right") - 1 for x in _places(text.lower()).T)
+    furniture[first[first == last_byte]] = True  # the bytes of two documents that meet make no phrase
     failed = full & (
         furniture
         | (count(_SYMBOL) > rules.symbols_per_word * words)
