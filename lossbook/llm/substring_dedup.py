@@ -15,8 +15,10 @@ documents hold it, and no pair of places is ever formed. Buckets are streamed in
 sorted order (index, probes, then the places that ask), holding only the index.
 Their number follows ``spark.sql.shuffle.partitions``. The text is shuffled once.
 
-Windows are equal if their 64-bit hashes are equal. A document's identity is a
-64-bit hash of its doc_id and text.
+Windows are equal if their 64-bit hashes are equal; anchors are found by the 32 bits below the bucket's, which may
+name a block too many, never one too few. A document's identity in shuffles is a 64-bit hash of its doc_id and text;
+a second hash finds documents that share one by chance (some n^2 / 2^65 of n documents) and gives those
+another, so that a document's identity rests on 128 bits.
 
 Edge cases: null text is an empty text without words, whose kept text is empty;
 documents under ``WINDOW`` words lose nothing; repeated rows are places of their
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossbook.llm.arrow import map_batches
+from lossbook.llm.store import saved
 from lossbook.llm.words import chunks, mix
 
 WINDOW, BLOCK = 35, 18
@@ -295,10 +298,20 @@ def _run_rows(key: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "start", "size"])
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """key (long), id, text: equal keys for rows that are equal in id and text, and others for all others. docs: id, text."""
+    first, second = F.xxhash64("id", "text"), F.xxhash64(F.lit("second"), "text", "id")
+    clashes = docs.select(first.alias("first"), second.alias("second")).groupBy("first").agg(F.min("second").alias("a"), F.max("second").alias("b"))
+    clashes = saved(clashes.filter("a <> b").select("first", F.lit(True).alias("clash")), "substring-clashes")
+    if clashes.isEmpty():
+        return docs.select(first.alias("key"), "id", "text")
+    return docs.withColumn("first", first).join(clashes, "first", "left").select(F.when(F.col("clash"), second).otherwise(F.col("first")).alias("key"), "id", "text")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """key, n_words, n_removed (long), kept_sha256 and, if asked for, kept_text: the words left, joined by one space."""
     id_type = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("key"), F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = told_apart(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
     buckets = n_buckets(docs)
     runs = _repeats(docs, _anchors(docs, buckets), buckets)
     runs = runs.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
