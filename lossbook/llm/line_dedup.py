@@ -7,15 +7,16 @@ without spaces at either end; lines that are empty then always stay.
 
 Only DataFrame functions run here. Lines are counted as (host, hash of line)
 with a map-side partial count, so neither a host with a third of all pages nor a
-line on all of them meets in one task. The lines to drop number at most
+line on all of them meets in one task. Copies of a page are one page: a host's distinct whole texts are counted
+(``copies_once=False`` counts every row). The lines to drop number at most
 ``lines per page / max_ratio`` a host; up to ``broadcast_lines`` of them (a
 checked count) are sent to all executors, beyond that pages and lists meet by a
 shuffle.
 
 Edge cases: null text stays null and counts as a page without lines; a null
 host is a host of its own; a line repeated on one page counts once; repeated
-rows are pages of their own, or with ``copies_once`` one page for each whole text of a host; an empty table gives an empty result; other
-columns pass through, except that ``n_lines`` and ``n_dropped`` are replaced.
+rows of a host count as one page and each lose the line; an empty table gives an empty result; a very long text is a row as any other; other
+columns pass through whatever their names, except that ``n_lines`` and ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, copies_once: bool = False
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, copies_once: bool = True
 ) -> DataFrame:
     """host, key, pages, ratio of each line to drop; with ``copies_once`` a host's pages of one whole text are one page."""
     keys = F.filter(F.array_distinct(F.transform(_lines(F.col(text)), _key)), lambda k: k.isNotNull())
@@ -59,33 +60,35 @@ def boilerplate_lines(
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 100_000, copies_once: bool = False
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, broadcast_lines: int = 100_000, copies_once: bool = True
 ) -> DataFrame:
     """The pages with their remaining text, ``n_lines`` and ``n_dropped`` (long)."""
     found = saved(boilerplate_lines(pages, host, text, max_ratio, min_pages, copies_once), "boilerplate")
-    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_drop"))
+    named = {c.lower() for c in pages.columns}
+    of, drop, left = (next(x for x in (name + "_" * k for k in range(len(named) + 1)) if x not in named) for name in ("_host", "_drop", "_kept"))
+    per_host = found.groupBy(F.col("host").alias(of)).agg(F.collect_list("key").alias(drop))
     if found.count() <= broadcast_lines:
         per_host = F.broadcast(per_host)
-    marked = pages.join(per_host, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains("_drop", _key(x)), F.lit(False)))
+    marked = pages.join(per_host, F.col(host).eqNullSafe(F.col(of)), "left")
+    kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))
     return (
-        marked.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(_lines(F.col(text))))
+        marked.withColumn(left, F.when(F.col(drop).isNotNull(), kept).otherwise(_lines(F.col(text))))
         .withColumn("n_lines", F.coalesce(F.size(_lines(F.col(text))), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("_kept"), F.lit(0)))
-        .withColumn(text, F.array_join("_kept", "\n"))
-        .drop("_host", "_drop", "_kept")
+        .withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size(left), F.lit(0)))
+        .withColumn(text, F.array_join(left, "\n"))
+        .drop(of, drop, left)
     )
 
 
 ORACLE_SQL = """
 WITH l AS (
   SELECT doc_id, source, unnest(list_distinct([x for x in [trim(y, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) for y in string_split(text, chr(10))] if x <> ''])) AS line
-  FROM documents),
-t AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+  FROM (SELECT min(doc_id) AS doc_id, source, text FROM documents GROUP BY source, text)),
+t AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
 bad AS (
   SELECT l.source, list(l.line) AS lines
-  FROM (SELECT source, line, count(*) AS n FROM l GROUP BY source, line HAVING count(*) >= 5) l
-  JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n::DOUBLE / t.n > 0.1 GROUP BY l.source),
+  FROM (SELECT source, line, count(*) AS n FROM l GROUP BY source, line HAVING count(*) >= 3) l
+  JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n::DOUBLE / t.n > 0.05 GROUP BY l.source),
 k AS (
   SELECT d.*, string_split(text, chr(10)) AS parts,
          [y for y in string_split(text, chr(10)) if NOT list_contains(coalesce(bad.lines, []), trim(y, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))] AS kept
