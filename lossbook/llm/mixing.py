@@ -7,8 +7,9 @@ its cap. A source's target is met with whole repetitions of all its documents
 and one seeded draw for the fraction: documents in seeded order take one more
 copy until the target is reached, each taken if its middle falls within it.
 
-Edge cases: null or empty text has size 0 and is taken 0 times; a null source
-is a source of its own and comes last; equal doc_ids are ordered by size;
+Edge cases: null or empty text has size 0 and is taken 0 words, and a source of such texts only gets no
+repetition; a null source is a source of its own and comes last; rows are drawn by doc_id and text, so null or
+repeated doc_ids spread over the bins too, and rows equal in both are ordered by size;
 an empty table gives no rows; other columns are ignored. Cumulative sums run
 over at most ``BINS`` rows for each source, then over the documents of one bin,
 so a source with a third of all rows never meets in one task.
@@ -53,7 +54,8 @@ def mix_sources(
     docs: DataFrame, seed: str = "mix", text: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (long), taken (long)."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+    row = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    draw = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
     sized = saved(docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), draw.alias("draw")), "mix-sizes").withColumn(
         "bin", F.shiftright("draw", 20).cast("int")
     )
@@ -69,10 +71,10 @@ def mix_sources(
     )
     rows = sized.alias("d").join(
         dealt.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bin") == F.col("b.bin"))
-    ).select("d.doc_id", "d.source", "d.size", "d.draw", "d.bin", "source_size", "target", "whole", "bin_size", "left")
+    ).select("d.doc_id", "d.source", "d.size", "d.draw", "d.bin", "source_size", "target", "whole", "extra", "bin_size", "left")
     inside = W.partitionBy("source", "bin").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     split = (F.col("left") > 0) & (F.col("left") < F.col("bin_size"))
-    sure = rows.filter(~split).withColumn("more", (F.col("left") >= F.col("bin_size")).cast("long"))
+    sure = rows.filter(~split).withColumn("more", ((F.col("left") >= F.col("bin_size")) & (F.col("extra") > 0)).cast("long"))
     cut = rows.filter(split).withColumn("more", (F.sum("size").over(inside) - F.col("size") / 2 <= F.col("left")).cast("long"))
     epochs = F.col("whole") + F.col("more")
     return sure.unionByName(cut).select(
@@ -83,7 +85,7 @@ def mix_sources(
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS draw
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
