@@ -77,6 +77,47 @@ def test_quality_lines(spark):
     assert got[1].clean_text == good and got[3].clean_text == good and got[4].clean_text == good + "\n"
 
 
+def failed_line(line: str) -> bool:
+    """The line rules one line at a time."""
+    words, data = WORD.findall(line), line.encode()
+    if not words:
+        return False
+    n, size = len(words), sum(len(w.encode()) for w in words)
+    twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    ascii_lower = "".join(c.lower() if c.isascii() else c for c in line)
+    return (
+        any(p in ascii_lower for p in quality_rules.BOILERPLATE) or len(re.findall(r"[#*$%&|<>]", line)) > 0.5 * n or line.count("|") > 0.2 * n
+        or (n >= 4 and (len(re.findall("[A-Z]", line)) > 0.5 * size or twice > 0.4 * n)) or (n < 12 and not quality_rules._END[data.rstrip(b" \t\r\x0b\x0c")[-1]])
+    )
+
+
+def test_quality_verdicts_by_brute_force(spark, docs, texts):
+    """Every row alone gives the verdict, whatever stands beside it in a batch."""
+    rng = random.Random(31)
+    more = [f"{sentence(rng, 20)} and about our privacy ", f"policy {sentence(rng, 30)}", f"{sentence(rng, 20)}\nAlle Rechte vorbehalten {sentence(rng, 12)}", "ALL CAPS HERE NOW.\n" + sentence(rng, 30), "very very very very much\n\nx" * 9]
+    rows = [*[t for _, t, _ in texts], *more]
+    frame = spark.createDataFrame([(i, t, "k", 3, True) for i, t in enumerate(rows)], "doc_id long, text string, n_words string, kept int, clean_text boolean").coalesce(1)
+    got = {r.doc_id: r for r in quality_rules.clean_lines(frame, carry=("doc_id", "n_words")).collect()}
+    assert len(got) == len(rows)
+    for i, text in enumerate(rows):
+        lines = (text or "").split("\n")
+        bad = [x for x in lines if failed_line(x)]
+        lost, n = sum(len(WORD.findall(x)) for x in bad), len(words_of(text))
+        assert (got[i].n_lost_words, got[i].n_failed_lines, got[i].n_words) == (lost, len(bad), n)
+        assert got[i].kept == (not got[i].base_failed and 100 * lost <= 50 * n)
+        assert got[i].clean_text == ((text or "") if not bad else "\n".join(x for x in lines if not failed_line(x)))
+
+
+def test_documents_with_one_hash_are_told_apart(spark, monkeypatch):
+    """Documents whose 64-bit identity is the same by chance keep their own windows."""
+    rng = random.Random(40)
+    rows = [(i, sentence(rng, 60 + i)) for i in range(6)]
+    real = substring_dedup.F.xxhash64
+    monkeypatch.setattr(substring_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) and c[0] == "id" else real(*c))
+    got = substring_dedup.told_apart(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert len({r.key for r in got}) == 6 and sorted((r.id, r.text) for r in got) == rows
+
+
 def test_substring_brute_force(docs, texts, none):
     counts = Counter(tuple(w[i : i + 35]) for _, t, _ in texts for w in [words_of(t)] for i in range(len(w) - 34))
     want = Counter()
@@ -140,6 +181,9 @@ def test_line_dedup(spark, docs, none):
     assert got[50].text == "shared footer" and got[51].text is None and got[52].text == ""
     few = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_lines=0)
     assert {r.doc_id: r.text for r in few.collect()} == {k: r.text for k, r in got.items()}
+    named = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS _drop", "2 AS _DROP_", "3 AS _kept", "4 AS _host", "5 AS keys")
+    again = line_dedup.drop_boilerplate(named).collect()
+    assert {r.doc_id: r.text for r in again} == {k: r.text for k, r in got.items()} and {(r["_drop"], r["_DROP_"], r["_kept"], r["_host"], r["keys"]) for r in again} == {(1, 2, 3, 4, 5)}
     assert line_dedup.drop_boilerplate(docs).count() == docs.count() and line_dedup.drop_boilerplate(none).count() == 0
 
 
@@ -149,10 +193,24 @@ def test_fixity(spark):
     other = pages.filter("page_id <> 17").withColumn("html", F.when(F.col("page_id").isin(3, 4500), "bad").otherwise(F.col("html")))
     other = other.unionByName(spark.createDataFrame([(6000, "u", "new")], pages.schema))
     got = {(r.number, r.kind) for r in fixity.audit(fixity.warc_records(pages), fixity.warc_records(other)).collect()}
-    assert got == {(17, "missing"), (3, "altered"), (4500, "altered"), (6000, "extra")}
+    assert got == {(17, "missing"), (3, "altered"), (4500, "altered"), (6000, "extra"), (fixity.NO_NUMBER, "missing")}
     assert fixity.audit(fixity.warc_records(pages), fixity.warc_records(pages)).count() == 0
-    records = fixity.warc_records(pages).orderBy("archive", "number").collect()
+    records = fixity.leaves(fixity.warc_records(pages)).orderBy("archive", "number").collect()
     assert all(b.offset == a.offset + a.length for a, b in zip(records, records[1:], strict=False) if a.archive == b.archive)
+    lost = pages.filter("page_id is not null").withColumn("digest", F.lit("x")).withColumn("archive", F.lit(1))
+    assert [(r.number, r.kind) for r in fixity.audit(fixity.warc_records(pages), fixity.warc_records(lost)).collect()] == [(fixity.NO_NUMBER, "missing")]
+    many = pages.unionByName(spark.createDataFrame([(7, "u", "h" * 1_000_000), (7, "u", "other"), (7, "u", "other")], pages.schema))
+    fewer = pages.unionByName(spark.createDataFrame([(7, "u", "other"), (7, "u", "h" * 1_000_000)], pages.schema))
+    assert fixity.audit(fixity.warc_records(many), fixity.warc_records(many.repartition(3))).count() == 0
+    assert [(r.number, r.kind) for r in fixity.audit(fixity.warc_records(many), fixity.warc_records(fewer)).collect()] == [(7, "altered")]
+    assert fixity.audit(fixity.warc_records(pages.limit(0)), fixity.warc_records(pages.limit(0))).count() == 0
+
+
+def test_warc_record(spark):
+    head, _, block = spark.range(1).select(fixity.warc_record(F.lit("http://x/"), F.lit("<p>é</p>"))).first()[0].partition("\r\n\r\n")
+    fields = dict(x.split(": ", 1) for x in head.split("\r\n")[1:])
+    assert head.startswith("WARC/1.1\r\n") and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"]) and "WARC-Date" in fields
+    assert block.endswith("\r\n\r\n") and len(block[:-4].encode()) == int(fields["Content-Length"]) and block.startswith("HTTP/1.1 200 OK\r\n")
 
 
 def test_html():
@@ -264,6 +322,18 @@ def test_mix(spark, docs, texts, none):
     assert all(r.taken <= 2 * r.size for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
     assert mixing.mix_sources(none).count() == 0
+    assert all(r.epochs == 0 for r in got if r.target == 0)
+
+
+def test_mix_of_empty_sources_and_null_ids(spark):
+    rng = random.Random(6)
+    rows = [(i, "", "empty") for i in range(5)] + [(None, sentence(rng, 20), "a") for _ in range(300)] + [(7, sentence(rng, 10), None) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS draw", "3 AS bin", "4 AS target", "5 AS extra")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows) and {(r.target, r.epochs, r.taken) for r in got if r.source == "empty"} == {(0.0, 0, 0)}
+    for source in ("a", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 20
 
 
 @pytest.fixture(scope="module")
