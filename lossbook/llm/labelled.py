@@ -16,7 +16,10 @@ def held_out(key: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, y of at most ``per_class`` documents a class, drawn by a hash of the key; labels that conflict or are null don't count."""
+    """key, text, y of at most ``per_class`` documents a class, drawn by a hash of the key; labels that conflict or are null don't count.
+
+    Of several documents with one key the one with the smallest text hash is taken, so the bound holds for any table.
+    """
     rows = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("y"), F.max(label).alias("_y")).filter("y = _y").drop("_y")
@@ -25,7 +28,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = rows.filter(F.col("y") == y).orderBy(F.xxhash64("_key"), "_key").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(key, text, F.col("y").cast("int").alias("y"))
+    found = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key"))
+    return found.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text), F.min("y").cast("int").alias("y"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

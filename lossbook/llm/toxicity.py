@@ -2,20 +2,20 @@
 
 Many voters look at each document: lexicon voters, one for each of ``LEXICON_VOTERS``
 groups of a lexicon of words and word beginnings mined from labelled documents, and pattern
-voters (hits at several densities and counts, hits among the first words,
-a fixed list of insults, and absence of all of them). A generative label model
-takes each voter's accuracy as it starts in the labelled sample, and fits
-accuracies and the class prior by expectation maximisation; correlations of voters
-that remain within a class are estimated, and correlated voters share their weight.
-Its posteriors are the labels of a linear classifier over hit features, whose
-scores are calibrated to the labelled sample.
+voters (hits at several densities and counts, the clearest hit,
+a fixed list of insults, and absence of all of them). A generative label model is fitted to the votes on all
+documents without any label: expectation maximisation, from the majority of votes on, gives the class prior, each voter's
+chances of its votes in either class, and the correlations of voters that remain within a class, by which correlated voters share
+their weight. Its posteriors are the only labels of a linear classifier over hit counts and votes.
 
-Fitting uses at most ``PER_CLASS`` labelled documents of each class (bounded,
-drawn by hash); scoring reads every whole text once.
+Labels serve for the lexicon alone, from at most ``PER_CLASS`` labelled documents of each class (bounded,
+drawn by hash). The votes on all documents are counted by pattern with Spark, and each round of the label model sums over the
+patterns where they lie; the classifier is fitted on at most ``PER_CLASS`` documents of each side of the
+posterior, drawn by hash. The whole text of every document is read once.
 
 Edge cases: null text counts as empty and gets the score of a document without
-hits; without labelled rows of both classes every score is 0.5's prior, 0; repeated
-rows score alike; empty tables give no rows; other columns are ignored. Held-out
+hits; without labelled rows of both classes, or without a word that tells them apart, every score is 0; repeated
+rows score alike; empty tables give no rows; very long texts are read whole; other columns are ignored, whatever their names. Held-out
 rows are never learnt from; labels, lang, source and the key are no inputs.
 """
 
@@ -33,13 +33,21 @@ from lossbook.llm.labelled import PER_CLASS, held_out, logistic, sigmoid, traini
 from lossbook.llm.store import saved
 from lossbook.llm.words import Chunk, byte_hashes, chunks, mix, spans_hash, terms
 
-# Common English insults.
-INSULTS = "idiot idiots moron morons stupid loser losers pathetic worthless disgusting scum trash clown dumb imbecile jerk filthy vermin freak".split()
+# Common insults in English, German, French and Spanish.
+INSULTS = (
+    "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "imbecile",
+    "jerk", "filthy", "vermin", "freak",
+    "idioten", "dummkopf", "trottel", "abschaum", "widerlich", "versager", "arschloch", "schwachkopf", "ungeziefer",
+    "idiote", "imbécile", "crétin", "connard", "abruti", "salaud", "ordure", "vermine", "débile",
+    "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "asqueroso", "inútil", "payaso",
+)
 PREFIXES = (5, 6, 7, 8)
 LEXICON = 512
 LEXICON_VOTERS = 16
 MIN_DOCS = 5
-N_PATTERNS = 8
+#: How many times likelier a lexicon entry must be in toxic documents than in others.
+MIN_LIFT = 20
+ROUNDS = 15
 
 
 def features(chunk: Chunk) -> tuple[Chunk, list[tuple[np.ndarray, np.ndarray]]]:
@@ -84,7 +92,7 @@ def mined_lexicon(sample: DataFrame, size: int = LEXICON, min_docs: int = MIN_DO
     a, b = F.col("ones") + 0.5, F.col("zeros") + 0.5
     share = (a + b) / (n[0] + n[1] + 1)
     ratio = a * F.log(a / (share * n[1])) + b * F.log(b / (share * n[0]))
-    clear = sums.filter((F.col("ones") >= min_docs) & (a / n[1] > 3 * b / n[0])).withColumn("ratio", ratio)
+    clear = sums.filter((F.col("ones") >= min_docs) & (a / n[1] > MIN_LIFT * b / n[0])).withColumn("ratio", ratio)
     return [(r["h"], r["ones"], r["zeros"]) for r in clear.orderBy(F.desc("ratio"), "h").limit(size).collect()]
 
 
@@ -163,43 +171,66 @@ class LabelModel:
         return sigmoid(score + np.log(self.prior / (1 - self.prior)))
 
 
-def _chances(v: np.ndarray, p: np.ndarray) -> np.ndarray:
-    out = np.zeros((2, v.shape[1], 3))
-    for y, w in ((0, 1 - p), (1, p)):
-        for k in (-1, 0, 1):
-            out[y, :, k + 1] = (w[:, None] * (v == k)).sum(0) + 0.5
-    return out / out.sum(2, keepdims=True)
+def moments(v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For both classes, weighted by n and the chance p of class 1: total, counts of each vote of each voter, sums of vote products."""
+    out = []
+    for q in (n * (1 - p), n * p):
+        counts = [(q[:, None] * (v == k)).sum(0) for k in (-1, 0, 1)]
+        out.append(np.concatenate([[q.sum()], np.concatenate(counts), ((q[:, None] * v).T @ v).ravel()]))
+    return np.stack(out)
 
 
-def fit_label_model(v: np.ndarray, y: np.ndarray, prior: float, rounds: int = 10) -> LabelModel:
-    """Accuracies start from labels y, then follow the posteriors; within-class correlations set the weights."""
-    size = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    p = y.astype(float)
-    model = LabelModel(_chances(v, p), prior, np.ones(v.shape[1]))
+def label_model(sums: np.ndarray) -> LabelModel:
+    """Chances and prior from the moments; voters whose votes correlate within classes by more than 0.2 share their weight."""
+    voters = int(round((np.sqrt(9 + 4 * (sums.shape[1] - 1)) - 3) / 2))
+    counts = sums[:, 1 : 1 + 3 * voters].reshape(2, 3, voters).transpose(0, 2, 1) + 1.0
+    inside = np.zeros((voters, voters))
+    for total, row in zip(sums[:, 0], sums, strict=True):
+        mean = (row[1 + 2 * voters : 1 + 3 * voters] - row[1 : 1 + voters]) / max(total, 1e-9)
+        inside += row[1 + 3 * voters :].reshape(voters, voters) - total * np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(inside), 0)) + 1e-9
+    related = np.abs(inside / np.outer(spread, spread))
+    np.fill_diagonal(related, 1.0)
+    prior = float(np.clip(sums[1, 0] / max(sums[:, 0].sum(), 1e-9), 1e-4, 0.5))
+    return LabelModel(counts / counts.sum(2, keepdims=True), prior, 1 / np.where(related > 0.2, related, 0).sum(1))
+
+
+def majority(v: np.ndarray) -> np.ndarray:
+    """The first posterior: more votes for label 1 than against it, by more than one."""
+    return sigmoid(v.sum(1) - 1.0)
+
+
+def fit_label_model(patterns: DataFrame, rounds: int = ROUNDS) -> LabelModel | None:
+    """patterns: votes (a byte for each voter), n (documents). Every round sums over all patterns in their tasks."""
+    model: LabelModel | None = None
     for _ in range(rounds):
-        rest = v - sum(np.outer(q, (q * size) @ v / max((q * size).sum(), 1e-9)) for q in (p, 1 - p))
-        spread = np.sqrt((rest**2 * size[:, None]).sum(0)) + 1e-9
-        related = np.abs((rest * size[:, None]).T @ rest / np.outer(spread, spread))
-        np.fill_diagonal(related, 1.0)
-        model = LabelModel(_chances(v, p), model.prior, 1 / np.where(related > 0.2, related, 0).sum(1))
-        p = 0.5 * y + 0.5 * model.posterior(v)
+
+        def sums(batches, model=model):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(float)
+                    part = moments(v, batch.column(1).to_numpy().astype(float), majority(v) if model is None else model.posterior(v.astype(np.int64)))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = [np.frombuffer(r[0]).reshape(2, -1) for r in map_batches(patterns.select("votes", "n"), sums, "sums binary").collect()]
+        if not parts:
+            return None
+        model = label_model(np.round(sum(parts), 6))
     return model
 
 
 @dataclass
 class Classifier:
-    lexicon: Lexicon
-    model: LabelModel | None
     weights: np.ndarray
     bias: float
     mean: np.ndarray
     scale: np.ndarray
 
-    def score(self, chunk: Chunk) -> np.ndarray:
-        m = self.lexicon.matrix(chunk)
-        if self.model is None:
-            return np.zeros(chunk.n)
-        return sigmoid(((_shaped(m) - self.mean) / self.scale) @ self.weights + self.bias)
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(((x - self.mean) / self.scale) @ self.weights + self.bias)
 
 
 def _shaped(m: np.ndarray) -> np.ndarray:
@@ -207,53 +238,77 @@ def _shaped(m: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(m[:, : LEXICON_VOTERS + 2]), np.sqrt(m[:, LEXICON_VOTERS + 2 :]), votes(m)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Classifier:
-    """A classifier from at most ``per_class`` labelled documents of each class that aren't held out."""
-    sample = saved(training_sample(docs, labels, label, per_class), "toxicity-sample")
-    found = mined_lexicon(sample)
+def lexicon_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Lexicon:
+    """The lexicon that at most ``per_class`` labelled documents of each class give, none of them held out."""
+    found = mined_lexicon(saved(training_sample(docs, labels, label, per_class), "toxicity-sample"))
     h = np.array([x[0] for x in found], np.int64).view(np.uint64)
     order = np.argsort(h)
     ones, zeros = (np.array([x[k] for x in found], float)[order] for k in (1, 2))
-    base = {r["y"]: r["n"] for r in labels.filter(~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = min(max(base.get(1, 0) / max(base.get(0, 0) + base.get(1, 0), 1), 1e-3), 1 - 1e-3)
     odds = np.log((ones + 0.5) / (zeros + 0.5))
     rank = np.empty(len(h), np.int64)
     rank[np.argsort(-odds, kind="stable")] = np.arange(len(h))
-    lexicon = Lexicon(h[order], rank * LEXICON_VOTERS // max(len(h), 1), odds - (odds.min(initial=0.0)))
+    return Lexicon(h[order], rank * LEXICON_VOTERS // max(len(h), 1), odds - (odds.min(initial=0.0)))
 
-    def measure(batches):
+
+def voted(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, votes (a byte for each voter), x (classifier inputs, 32-bit), draw: one row for each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
         for batch in batches:
             for row, chunk in chunks(batch):
-                m = lexicon.matrix(chunk)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(row, chunk.n), pa.array([x.tobytes() for x in m], pa.binary())], names=["y", "m"])
-
-    rows = map_batches(sample, measure, "y int, m binary").collect()
-    y = np.array([r["y"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return Classifier(lexicon, None, np.zeros(0), 0.0, np.zeros(0), np.ones(0))
-    m = np.stack([np.frombuffer(r["m"]) for r in rows])
-    order = np.lexsort((*m.T, y))
-    m, y = m[order], y[order]
-    v = votes(m)
-    model = fit_label_model(v, y, prior)
-    soft = 0.5 * y + 0.5 * model.posterior(v)
-    x = _shaped(m)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    size = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    weights, bias = logistic((x - mean) / scale, soft, size, ridge=3.0)
-    raw = ((x - mean) / scale) @ weights + bias
-    slope, shift = logistic(raw[:, None], y.astype(float), size, ridge=0.01)
-    return Classifier(lexicon, model, weights * slope[0], bias * slope[0] + shift, mean, scale)
+                m = shared.value.matrix(chunk)
+                columns = [[r.tobytes() for r in votes(m).astype(np.int8)], [r.tobytes() for r in _shaped(m).astype(np.float32)]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, chunk.n), *[pa.array(c, pa.binary()) for c in columns], batch.column(2).slice(row, chunk.n)], names=["key", "votes", "x", "draw"]
+                )
 
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("toxicity")).alias("draw"))
+    return map_batches(rows, run, f"key {docs.schema[key].dataType.simpleString()}, votes binary, x binary, draw long")
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, score (double), predicted (int) of every document."""
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches):
+def fit_classifier(rows: DataFrame, patterns: DataFrame, model: LabelModel, per_class: int = PER_CLASS) -> Classifier:
+    """A linear classifier on the posteriors of at most ``per_class`` documents of either side of 0.5."""
+
+    def judge(batches):
         for batch in batches:
-            for row, chunk in chunks(batch, text):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, chunk.n), pa.array(classifier.value.score(chunk))], names=[key, "score"])
+            if batch.num_rows:
+                v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.posterior(v))], names=["votes", "n", "p"])
+
+    judged = saved(map_batches(patterns, judge, "votes binary, n long, p double"), "toxicity-posteriors")
+    x, p, size = [], [], []
+    for side in (F.col("p") >= 0.5, F.col("p") < 0.5):
+        there = judged.filter(side)
+        drawn = rows.join(there, "votes").orderBy("draw", "x").limit(per_class).select("x", "p").collect()
+        n = there.agg(F.sum("n")).first()[0] or 0
+        x += [np.frombuffer(r["x"], np.float32).astype(float) for r in drawn]
+        p += [r["p"] for r in drawn]
+        size += [n / len(drawn)] * len(drawn)
+    x, p, size = np.stack(x), np.array(p), np.array(size)
+    size *= len(size) / size.sum()
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    weights, bias = logistic((x - mean) / scale, p, size, ridge=3.0)
+    return Classifier(weights, bias, mean, scale)
+
 
-    scored = map_batches(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
-    return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, held_out, score (double), predicted (int) of every document."""
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    lexicon = lexicon_of(docs, labels)
+    rows = saved(voted(docs, lexicon), "toxicity-votes")
+    patterns = saved(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "toxicity-patterns")
+    model = fit_label_model(patterns) if len(lexicon.hashes) else None
+    if model is None:
+        scored = rows.select("key", F.lit(0.0).alias("score"))
+    else:
+        classifier = fit_classifier(rows, patterns, model)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(float)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.score(x))], names=["key", "score"])
+
+        scored = map_batches(rows.select("key", "x"), run, f"key {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -366,3 +367,52 @@ def test_classifiers_on_held_out_rows(labelled, score, label):
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert score(docs.limit(0), labels).count() == 0
     assert {r.predicted for r in score(docs.limit(5), labels.limit(0)).collect()} == {0}
+
+
+def test_label_model_by_brute_force(spark):
+    """The label model over counted patterns equals expectation maximisation document by document, and finds the class without a label."""
+    rng, voters, rounds = random.Random(17), 7, 6
+    truth = [rng.random() < 0.2 for _ in range(600)]
+    votes = []
+    for t in truth:
+        row = [0 if rng.random() < 0.2 else (1 if t == (rng.random() < 0.85) else -1) for _ in range(voters - 1)]
+        votes.append([*row, row[-1]])  # the last two voters say the same
+    rows = spark.createDataFrame([(bytes(v % 256 for v in row),) for row in votes], "votes binary")
+    model = toxicity.fit_label_model(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), rounds)
+
+    chance, prior, weight = None, None, [1.0] * voters
+    post = [1 / (1 + math.exp(1 - sum(row))) for row in votes]
+    for r in range(rounds):
+        if r:
+            post = []
+            for row in votes:
+                z = math.log(prior / (1 - prior)) + sum(w * math.log(chance[1][j][x] / chance[0][j][x]) for j, (x, w) in enumerate(zip(row, weight, strict=True)))
+                post.append(1 / (1 + math.exp(-z)))
+        sides = [[1 - p for p in post], post]
+        prior = sum(post) / len(post)
+        chance = [[{k: (sum(q for q, row in zip(side, votes, strict=True) if row[j] == k) + 1) / (sum(side) + 3) for k in (-1, 0, 1)} for j in range(voters)] for side in sides]
+        inside = [[0.0] * voters for _ in range(voters)]
+        for side in sides:
+            mean = [sum(q * row[j] for q, row in zip(side, votes, strict=True)) / sum(side) for j in range(voters)]
+            for i in range(voters):
+                for j in range(voters):
+                    inside[i][j] += sum(q * (row[i] - mean[i]) * (row[j] - mean[j]) for q, row in zip(side, votes, strict=True))
+        weight = [1 / sum(x for j in range(voters) if (x := 1.0 if i == j else abs(inside[i][j]) / math.sqrt(inside[i][i] * inside[j][j])) > 0.2) for i in range(voters)]
+    assert model.prior == pytest.approx(prior, abs=1e-6) and list(model.weight) == pytest.approx(weight, abs=1e-6)
+    assert all(model.chance[y][j][k + 1] == pytest.approx(chance[y][j][k], abs=1e-6) for y in (0, 1) for j in range(voters) for k in (-1, 0, 1))
+    assert model.weight[-1] < 0.6 and abs(model.prior - 0.2) < 0.05
+    import numpy as np
+
+    assert sum((p >= 0.5) == t for p, t in zip(model.posterior(np.array(votes)), truth, strict=True)) > 0.95 * len(truth)
+
+
+def test_toxicity_of_awkward_rows(labelled, spark):
+    """Repeated keys and rows, clashing names and one very long text; rows with one text score alike."""
+    docs, labels = labelled
+    rng = random.Random(50)
+    more = spark.createDataFrame([(5, "idiot moron scum " + sentence(rng, 50)), (3000, sentence(rng, 100_000)), (3001, "a snarfle idiot moron"), (3001, "a snarfle idiot moron")], docs.schema)
+    wide = docs.unionByName(more).selectExpr("*", "1 AS key", "2 AS votes", "3 AS x", "4 AS draw", "5 AS score", "6 AS y")
+    got = toxicity.score_toxicity(wide, labels.withColumn("text", F.lit("x"))).collect()
+    assert len(got) == docs.count() + 4
+    assert len({r.score for r in got if r.doc_id == 3001}) == 1 and {r.predicted for r in got if r.doc_id == 3001} == {1}
+    assert {r.predicted for r in got if r.doc_id in (3000, 1000, 1001)} == {0}
