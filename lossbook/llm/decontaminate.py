@@ -4,29 +4,29 @@ The test items are indexed once: postings of (item, BM25 impact) by term, cut
 into blocks that know their largest impact. Impacts are divided by the item's
 score against itself, so one threshold suits short and long items. Each
 document is cut into overlapping passages twice as long as the longest item (so any
-copy lies whole in one passage); a passage's terms are its query. Passages
-whose summed upper bounds stay below the threshold are skipped; the others run
-block-max WAND and retrieve every item at or above the threshold, with no
-cap. A retrieved item counts as leaked if enough of the ``gram``-word runs of its
+copy lies whole in one passage); a passage's terms are its query. Retrieval is block-max WAND with
+its fixed threshold taken for many queries at once: where a pointer-by-pointer WAND moves one query's pivot past a block whose
+largest impacts stay below the threshold, arrays drop all such (query, block) cells together, and only the postings of the others are
+scored. Every item at or above the threshold is retrieved, with no cap. A retrieved item counts as leaked if enough of the ``gram``-word runs of its
 question and of its answer (text after the last line break or sentence end)
 occur in the document.
 
-The index is built for one block of at most ``items_per_block`` items at a time,
-a proven bound for what is broadcast; more items make more passes over the documents.
+The index is built for one slice of at most ``items_per_block`` items at a time, by the hash of id and text,
+a proven bound for what is broadcast; more items make more passes over the documents. Queries go through the blocks in groups of
+at most ``CELLS`` (query, block) cells, so a text of any length takes no more memory than a chunk of passages.
 Item frequencies, mean length and the passage length are those of the whole benchmark, counted
 by Spark, so scores don't depend on the blocks.
 
 Edge cases: null text has no terms and no hits; empty items match nothing; items
-with equal texts are each reported; repeated documents are each judged; an item
+with equal texts are each reported, those with null or repeated ids too (rows equal in id and text once); repeated documents are each judged; an item
 shorter than ``gram`` words is one run; empty tables give no rows; a
 document with several passages that hit one item gives one row with the
-best score. Other columns are ignored.
+best score. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,6 +40,10 @@ from lossbook.llm.store import saved
 from lossbook.llm.words import Chunk, chunks, spans_hash, terms as folded_terms
 
 K1, B = 1.2, 0.75
+#: (query, block) cells looked at together.
+CELLS = 1 << 22
+
+
 @dataclass(frozen=True)
 class Leak:
     threshold: float = 0.6
@@ -108,28 +112,22 @@ def _item_terms(items: list[tuple[int, str]]) -> list[np.ndarray]:
 
 def build_index(items: list[tuple[int, str]], leak: Leak, corpus: Corpus | None = None) -> Index:
     """The index of a block of items by the figures of ``corpus``, or of these items where they are the whole benchmark."""
-    items = sorted(items, key=lambda x: (len(x[1] or ""), x[0]))  # blocks of items alike in length have tight bounds
+    items = sorted(items, key=lambda x: (len(x[1] or ""), x[1] or ""))  # blocks of items alike in length have tight bounds
     terms = _item_terms(items)
-    counts = [Counter(t.tolist()) for t in terms]
+    size = np.array([len(t) for t in terms], np.int64)
+    keys, term = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_inverse=True)
+    pair, often = np.unique(term * max(len(items), 1) + np.repeat(np.arange(len(items)), size), return_counts=True)
+    owner, items_ = pair // max(len(items), 1), pair % max(len(items), 1)
     if corpus is None:
-        df = Counter(t for c in counts for t in c)
-        n_items, mean, longest = len(items), np.mean([len(t) for t in terms]) if terms else 1.0, max([len(t) for t in terms], default=1)
+        n_items, mean, longest, holding = len(items), float(size.mean()) if len(size) else 1.0, int(size.max(initial=1)), np.bincount(owner, minlength=len(keys))
     else:
-        df = dict(zip(corpus.terms.tolist(), corpus.holding.tolist(), strict=True))
         n_items, mean, longest = corpus.items, corpus.mean, corpus.longest
-    idf = {t: np.log(1 + (n_items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-    postings: dict[int, list[tuple[int, float]]] = {}
-    for k, c in enumerate(counts):
-        norm = K1 * (1 - B + B * len(terms[k]) / max(mean, 1e-9))
-        raw = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in c.items()}
-        own = sum(raw.values())
-        for t, x in raw.items():
-            postings.setdefault(t, []).append((k, x / own))
-    keys = np.array(sorted(postings), np.uint64)
-    flat = [postings[int(t)] for t in keys]
-    items_ = np.array([k for p in flat for k, _ in p], np.int64)
-    impacts = np.array([x for p in flat for _, x in p], float)
-    owner = np.repeat(np.arange(len(flat)), [len(p) for p in flat])
+        order = np.argsort(corpus.terms)
+        holding = corpus.holding[order][np.searchsorted(corpus.terms[order], keys)]
+    idf = np.log(1 + (n_items - holding + 0.5) / (holding + 0.5))
+    raw = idf[owner] * often * (K1 + 1) / (often + K1 * (1 - B + B * size[items_] / max(mean, 1e-9)))
+    impacts = raw / np.bincount(items_, weights=raw, minlength=len(items))[items_]
+    first = np.searchsorted(owner, np.arange(len(keys)))
     n_blocks = -(-len(items) // leak.block)
     blocks, begin = np.unique(owner * n_blocks + items_ // leak.block, return_index=True)
     order = np.lexsort((impacts, items_))  # an item's weakest postings, as far as they stay below the threshold together, can't retrieve it alone
@@ -144,10 +142,10 @@ def build_index(items: list[tuple[int, str]], leak: Leak, corpus: Corpus | None
         got = [(c, c.hashes()) for c in (folded_terms(c) for _, c in chunks(batch))]
         grams.append([_runs(h[c.word_offsets[i] : c.word_offsets[i + 1]], leak.gram) for c, h in got for i in range(c.n)])
     return Index(
-        [k for k, _ in items], keys, items_, impacts, np.array([max(x for _, x in p) for p in flat], float),
-        np.searchsorted(blocks // max(n_blocks, 1), np.arange(len(flat) + 1)), blocks % max(n_blocks, 1),
+        [k for k, _ in items], keys, items_, impacts, np.maximum.reduceat(impacts, first) if len(first) else impacts,
+        np.searchsorted(blocks // max(n_blocks, 1), np.arange(len(keys) + 1)), blocks % max(n_blocks, 1),
         np.maximum.reduceat(impacts, begin) if len(begin) else impacts, np.append(begin, len(items_)),
-        np.maximum.reduceat(essential, begin) if len(begin) else essential, np.bincount(owner, weights=essential, minlength=len(flat)) > 0,
+        np.maximum.reduceat(essential, begin) if len(begin) else essential, np.bincount(owner, weights=essential, minlength=len(keys)) > 0,
         n_blocks, 2 * longest, grams[0], grams[1],
     )
 
@@ -211,13 +209,15 @@ def _hits(chunk: Chunk, index: Index, leak: Leak) -> Iterator[tuple[int, int, fl
     total = np.concatenate([[0], np.cumsum(known & index.essential[slot])])
     able = np.flatnonzero(total[end] > total[begin])
     doc, begin, end = doc[able], begin[able], end[able]
-    at, of = _ragged(begin, end)
-    seen = known[at]
-    pair = _distinct(of[seen] * len(index.terms) + slot[at[seen]], len(doc) * len(index.terms))
     best: dict[tuple[int, int], float] = {}
-    for p, item, score in zip(*block_max_wand(index, pair // len(index.terms), pair % len(index.terms), leak.threshold), strict=True):
-        place = (int(doc[p]), int(item))
-        best[place] = max(best.get(place, 0.0), float(score))
+    group = max(1, CELLS // max(index.n_blocks, 1))
+    for lo in range(0, len(doc), group):
+        at, of = _ragged(begin[lo : lo + group], end[lo : lo + group])
+        seen = known[at]
+        pair = _distinct(of[seen] * len(index.terms) + slot[at[seen]], min(group, len(doc) - lo) * len(index.terms))
+        for p, item, score in zip(*block_max_wand(index, pair // len(index.terms), pair % len(index.terms), leak.threshold), strict=True):
+            place = (int(doc[lo + p]), int(item))
+            best[place] = max(best.get(place, 0.0), float(score))
     own: dict[int, np.ndarray] = {}
     for (d, item), score in sorted(best.items()):
         if d not in own:
@@ -234,19 +234,23 @@ def _hits(chunk: Chunk, index: Index, leak: Leak) -> Iterator[tuple[int, int, fl
             yield d, item, score, sides[0], sides[1]
 
 
-def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``size``, each read from the table when its turn comes."""
+def item_blocks(items: DataFrame, size: int) -> Iterator[list[tuple[object, str]]]:
+    """The items (h, item_id, text; no two rows alike) in slices of at most ``size`` by their hash, each read from the table when its turn comes."""
     last = None
     while True:
-        part = benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull())
-        part = part if last is None else part.filter(F.col("item_id") > last)
-        rows = part.orderBy("item_id", "text").limit(size).collect()
+        part = items if last is None else items.filter(F.col("h") > last)
+        rows = part.orderBy("h", "item_id", "text").limit(size).collect()
         if not rows:
             return
         if len(rows) == size and rows[0][0] != rows[-1][0]:
             rows = [r for r in rows if r[0] != rows[-1][0]]
         last = rows[-1][0]
-        yield [(r[0], r[1]) for r in rows]
+        yield [(r[1], r[2]) for r in rows]
+
+
+def indexed_items(benchmark: DataFrame) -> DataFrame:
+    """h, item_id, text: the rows of the benchmark, those equal in both once."""
+    return saved(benchmark.select(F.xxhash64("item_id", F.lit("item"), "text").alias("h"), "item_id", "text").distinct(), "benchmark-items")
 
 
 def benchmark_terms(benchmark: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def benchmark_terms(benchmark: DataFrame) -> DataFrame:
                     names=["n_terms", "terms"],
                 )
 
-    return map_batches(benchmark.filter("item_id is not null").select("text"), run, "n_terms long, terms array<long>")
+    return map_batches(benchmark.select("text"), run, "n_terms long, terms array<long>")
 
 
 def corpus_figures(benchmark: DataFrame) -> Callable[[list[tuple[int, str]]], Corpus]:
@@ -284,28 +288,34 @@ def corpus_figures(benchmark: DataFrame) -> Callable[[list[tuple[int, str]]], Co
 def leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id, score, question_overlap, answer_overlap: one row for each document and item that leaked into it."""
     spark: SparkSession = docs.sparkSession
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id {id_type}, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    figures = corpus_figures(benchmark) if benchmark.limit(leak.items_per_block + 1).count() > leak.items_per_block else None
+    benchmark = indexed_items(benchmark)
+    arrow_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
+    figures = corpus_figures(benchmark) if benchmark.count() > leak.items_per_block else None
     for items in item_blocks(benchmark, leak.items_per_block):
         index = spark.sparkContext.broadcast(build_index(items, leak, figures and figures(items)))
 
         def run(batches, index=index):
             for batch in batches:
                 keys = batch.column(0)
-                for row, chunk in chunks(batch, text):
+                for row, chunk in chunks(batch):
                     found = list(_hits(chunk, index.value, leak))
                     if found:
                         d, item, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [keys.take(pa.array([row + x for x in d])), pa.array([index.value.ids[k] for k in item], pa.int64()), *map(pa.array, rest)],
+                            [keys.take(pa.array([row + x for x in d])), pa.array([index.value.ids[k] for k in item], arrow_type), *map(pa.array, rest)],
                             names=[key, "item_id", "score", "question_overlap", "answer_overlap"],
                         )
 
-        out = out.unionByName(map_batches(docs.select(key, text), run, schema))
+        out = out.unionByName(map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
-    """The documents that no item leaked into, columns unchanged; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, leak).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows that no item leaked into, columns unchanged; a row is known by its doc_id and text, so null and repeated ids are judged row by row."""
+    named = {c.lower() for c in docs.columns}
+    row = next(x for x in ("row" + "_" * k for k in range(len(named) + 1)) if x not in named)
+    told = docs.withColumn(row, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return told.join(leaks(told, benchmark, leak, key=row).select(row).distinct(), row, "left_anti").select(*docs.columns)
