@@ -6,8 +6,9 @@ smallest doc_id of each near-duplicate group; decontamination drops documents
 that benchmark items leaked into; mixing gives each document that is left the
 words the mix takes of it.
 
-Rows with a null doc_id pass every stage but near-duplicate removal, which keeps
-them all as they can't be told apart. An empty table stays empty.
+Edge cases: rows are told apart by doc_id and text where doc_ids are null or repeat, so each such text is judged by itself in every stage and
+only copies and near copies of it go; null and empty texts fail the quality rules; ties within a group go to the smallest doc_id; very
+long texts are read whole; columns other than those of documents are left out; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -42,10 +43,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_jaccard.jaccard_components(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One row of each group stays: of rows with an id of their own the smallest doc_id, else the row whose hash of id and text is smallest."""
+    text_hash = F.xxhash64(F.lit("near"), "doc_id", "text")
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("of"), F.lit(True).alias("shared"))
+    shared = saved(shared, "pipeline-shared-ids")
+    if shared.isEmpty():
+        gone = ngram_jaccard.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    told = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("node", F.when(F.col("shared"), text_hash).otherwise(F.col("doc_id")))
+    told = told.select("node", *COLUMNS)
+    groups = ngram_jaccard.jaccard_components(told, key="node")
+    gone = groups.filter("component_id <> node").select("node").distinct()
+    kept = told.join(gone, "node", "left_anti")
+    once = kept.join(shared.select(F.col("of")), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").dropDuplicates(["node"])
+    return kept.join(shared.select("of"), F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
