@@ -262,6 +262,22 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_awkward_rows(spark):
+    """Null and repeated item ids are items of their own; null and repeated doc_ids are judged row by row; one very long text; clashing names."""
+    rng = random.Random(61)
+    items = [(None, sentence(rng, 20)), (1, sentence(rng, 20)), (1, sentence(rng, 20)), (1, None), (2, sentence(rng, 20)), (2, None)]
+    items += [items[4], (9, items[4][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS h", "2 AS n_terms", "3 AS doc_id")
+    held = [sentence(rng, 40) + " " + t + " " + sentence(rng, 40) for _, t in items[:3]] + [sentence(rng, 150_000) + " " + items[4][1] + " " + sentence(rng, 90_000)]
+    rows = [(None, held[0]), (None, sentence(rng, 80)), (5, held[1]), (5, held[2]), (5, sentence(rng, 80)), (6, held[3]), (6, held[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS score", "3 AS row", "4 AS key")
+    want = Counter([(None, None), (5, 1), (5, 1), (6, 2), (6, 9), (6, 2), (6, 9)])
+    for leak in (decontaminate.Leak(), decontaminate.Leak(items_per_block=2)):
+        assert Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, leak).collect()) == want
+    left = decontaminate.drop_leaks(docs, bench)
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter([rows[1], rows[4]])
+
+
 def test_scores_of_edited_copies_for_any_block_size(spark):
     rng = random.Random(21)
     items = [(i, " ".join(rng.choice(["common", "usual", "often"]) if rng.random() < 0.3 else w for w in sentence(rng, 12 + i).split()) + "\n" + sentence(rng, 8)) for i in range(23)]

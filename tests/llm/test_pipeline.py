@@ -38,3 +38,21 @@ def test_lines_of_a_large_host(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
     assert got == {d: copy if t == copy else t.split("\n")[0] for d, t, *_ in rows}
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated doc_ids are told apart by their texts; clashing columns and an empty table do no harm."""
+    rng = random.Random(14)
+    texts = [sentence(rng, 60) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3] + " more words"), (9, texts[4]), (9, texts[4]), (1, sentence(rng, 30_000)), (2, ""), (3, None)]
+    frame = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = frame.selectExpr("*", "1 AS node", "2 AS clean_text", "3 AS n_words", "4 AS shared", "5 AS whole_text", "6 AS _drop", "7 AS size")
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sentence(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.size) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) in (
+        sorted([(None, 60), (None, 60), (7, 60), (7, 60), (9, 60), (1, 30_000)], key=str), sorted([(None, 60), (None, 60), (7, 60), (8, 62), (9, 60), (1, 30_000)], key=str),
+    )
+    wide.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
