@@ -241,10 +241,47 @@ def test_html_names_of_pages_and_articles(outer, inner):
     assert html_blocks.main_texts([f"<body><div class='sidebar'><p>{text}</p></div><article hidden><p>{text}</p></article></body>"]) == [""]
 
 
+TEXT = "The council met on Monday and agreed to repair the old bridge over the river before winter comes."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{TEXT}</p><svg/><p>{TEXT}</p><iframe src=x><p>{TEXT}</p></article>", [TEXT] * 3),
+        (f"<article><svg><text>no</text></svg><p>{TEXT}</p><object><p>{TEXT}</p></article>", [TEXT] * 2),
+        (f"<article><p><a href=x>Read</p><p>{TEXT}</p><p>{TEXT}</p></article>", [TEXT] * 2),
+        (f"<article><div><a href=x>Read</div><p>{TEXT}</p></article><p><a href=y>Other</a></p>", [TEXT]),
+        (f"<article><p title=don't>{TEXT}</p><p title='a > b'>{TEXT}</p></article>", [TEXT] * 2),
+        ("<p>One two three.</p><p>Four five six.</p><p>Seven eight.</p>", ["One two three.", "Four five six.", "Seven eight."]),
+        (f"<head><title>T</title><body><p>{TEXT}</p>", [TEXT]),
+        (f"<article><p>1 &lt; 2 &nosuch; &#xE9;&amp;lt;</p><p>{TEXT}</p></article><script>var a = '<p>no</p>'", ["1 < 2 &nosuch; é&lt;", TEXT]),
+        (f"<body><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div>Buy it now.</div><h1>The bridge</h1><p>{TEXT}</p><p>{TEXT}</p><footer>Nobody</footer>", ["The bridge", TEXT, TEXT]),
+        ("<article>" + f"<p>{TEXT}</p>" * 20_000 + "</article>", [TEXT] * 20_000),
+    ],
+)
+def test_html_pages_by_hand(page, want):
+    assert html_blocks.main_texts([page]) == ["\n\n".join(want)]
+
+
+def test_html_counts_and_neighbours_decide_without_names():
+    """Pages whose parts have no names: the menu, the advert after it and the footer go by densities and neighbours."""
+    rng = random.Random(70)
+    pages, want = [], []
+    for _ in range(200):
+        body = [sentence(rng, rng.randrange(3, 12)), *[sentence(rng, rng.randrange(6, 60)) for _ in range(rng.randrange(2, 9))]]
+        menu = "".join(f"<div><a href='/{k}'>{sentence(rng, 1)}</a></div>" for k in range(rng.randrange(3, 9)))
+        pages.append(f"<body>{menu}<div>{sentence(rng, rng.randrange(3, 10))}</div><h1>{body[0]}</h1>" + "".join(f"<div>{b}</div>" for b in body[1:]) + "<footer>c</footer>")
+        want.append("\n\n".join(body))
+    right = sum(a == b for a, b in zip(html_blocks.main_texts(pages), want, strict=True))
+    assert right >= 0.95 * len(pages)
+
+
 def test_html_query(spark):
-    rows = [(1, "u", "<article><p>Some text here.</p></article>"), (2, None, None)]
-    got = html_blocks.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "Some text here.", 15), (2, "", 0)]
+    rows = [(1, "u", "<article><p>Some text here.</p></article>"), (2, None, None), (1, "u", "<article><p>Some text here.</p></article>"), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS _html")
+    got = html_blocks.extract_text(pages).collect()
+    assert Counter((r.page_id, r.text, r.n_chars) for r in got) == Counter([(1, "Some text here.", 15), (2, "", 0), (1, "Some text here.", 15), (None, "", 0)])
+    assert html_blocks.extract_text(pages.limit(0)).count() == 0
 
 
 def test_leaks(spark, docs, none):
