@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lossbook.vocab import LINE_ALIASES, LINES, LOSS_TYPES
-
-#: Tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy", "yyyy/M/d")
-TRUE_WORDS = ("yes", "true", "y", "confirmed", "present", "1")
-FALSE_WORDS = ("no", "false", "n", "none", "absent", "0", "nil")
-MAX_MINOR = 1_000_000_000_000
-CURRENCIES = (("£", "GBP"), ("$", "USD"), ("€", "EUR"), ("s$", "SGD"), ("sgd", "SGD"), ("gbp", "GBP"), ("usd", "USD"), ("eur", "EUR"))
+from lossbook.vocab import (
+    AMOUNT_PATTERN, CLOCK_PATTERN, CURRENCIES, DATE_FORMATS, EMAIL_PATTERN, FALSE_WORDS, LINE_ALIASES, LINES, LOSS_TYPES, MAX_MINOR, MILLION_PATTERN, PARTY_ROLES,
+    PHONE_PATTERN, ROLE_ALIASES, THOUSAND_PATTERN, TRUE_WORDS,
+)
 
 
 def parse_date(value: Column) -> Column:
-    """A calendar date in one of DATE_FORMATS or an ISO timestamp, else null."""
+    """A calendar date in one of DATE_FORMATS, a compact ISO date or an ISO timestamp, else null."""
     text = F.regexp_replace(F.replace(F.btrim(value), F.lit(","), F.lit(" ")), r"\s+", " ")
     text = F.regexp_replace(text, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
     text = F.when(text.rlike("[A-Za-z]"), F.initcap(text)).otherwise(text)
     found = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS]
     iso = F.when(F.btrim(value).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.left(F.btrim(value), F.lit(10)).try_cast("date"))
-    return F.coalesce(*found, iso)
+    compact = F.when(F.btrim(value).rlike(r"^\d{8}$"), F.try_to_timestamp(F.btrim(value), F.lit("yyyyMMdd")).cast("date"))
+    return F.coalesce(*found, iso, compact)
 
 
 def parse_datetime(date: Column, time: Column, as_of: Column) -> Column:
     """The loss moment, null outside ten years before and one day after as_of."""
     day = parse_date(date)
-    clock = r"\b([01]?\d|2[0-3])[:.]([0-5]\d)\b"
-    part = [F.coalesce(F.nullif(F.regexp_extract(time, clock, k), F.lit("")).cast("int"), F.lit(0)) for k in (1, 2)]
+    part = [F.coalesce(F.nullif(F.regexp_extract(time, CLOCK_PATTERN, k), F.lit("")).cast("int"), F.lit(0)) for k in (1, 2)]
     stamp = F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), part[0], part[1], F.lit(0))
     inside = (stamp <= as_of + F.expr("interval '1' day")) & (stamp >= as_of - F.expr("interval '3650' day"))
     return F.when(inside, stamp)
@@ -38,9 +34,9 @@ def parse_datetime(date: Column, time: Column, as_of: Column) -> Column:
 def parse_money_minor(value: Column) -> Column:
     """Minor units with k and m multipliers; null if absent, negative or above ten thousand million."""
     text = F.lower(F.btrim(value))
-    number = F.regexp_extract(text, r"(-?\d[\d,\s]*(?:\.\d{1,2})?)", 1)
+    number = F.regexp_extract(text, AMOUNT_PATTERN, 1)
     amount = F.regexp_replace(number, r"[,\s]", "").try_cast("decimal(20,4)")
-    times = F.when(text.rlike(r"\d\s*(m|mn|million)\b"), 1_000_000).when(text.rlike(r"\d\s*(k|thousand)\b"), 1_000).otherwise(1)
+    times = F.when(text.rlike(MILLION_PATTERN), 1_000_000).when(text.rlike(THOUSAND_PATTERN), 1_000).otherwise(1)
     minor = F.bround(amount * times * 100, 0).cast("long")
     return F.when((minor >= 0) & (minor <= MAX_MINOR), minor)
 
@@ -65,11 +61,11 @@ def parse_bool(value: Column) -> Column:
 
 
 def parse_email(value: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(value, r"[\w.+-]+@[\w-]+\.[\w.-]+", 0)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(value, EMAIL_PATTERN, 0)), F.lit(""))
 
 
 def parse_phone(value: Column) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(value, r"[+()\d][\d\s()+.-]{6,}\d", 0), r"[^\d+]", "")
+    digits = F.regexp_replace(F.regexp_extract(value, PHONE_PATTERN, 0), r"[^\d+]", "")
     return F.when(F.length(F.ltrim(digits, F.lit("+"))).between(7, 15), digits)
 
 
@@ -88,17 +84,13 @@ def parse_line_of_business(value: Column) -> Column:
 
 
 def parse_party_role(value: Column) -> Column:
-    aliases = {
-        "policyholder": "insured", "insured_party": "insured", "agent": "broker", "intermediary": "broker", "third_party_claimant": "third_party",
-        "counterparty": "third_party", "police": "authority", "fire_service": "authority", "regulator": "authority", "loss_adjuster": "other",
-    }
     key = _key(value)
-    key = F.coalesce(_mapped(key, aliases), key)
-    return F.when(key.isin("claimant", "insured", "broker", "third_party", "witness", "authority", "other"), key).otherwise("other")
+    key = F.coalesce(_mapped(key, ROLE_ALIASES), key)
+    return F.when(key.isin(*PARTY_ROLES), key).otherwise("other")
 
 
 def valid_loss_type(line: Column, loss_type: Column) -> Column:
     """The loss type if the line offers it, else null."""
-    known = F.create_map(*[x for k, v in LOSS_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    known = F.create_map(*[x for k, v in LOSS_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     key = F.translate(F.lower(F.btrim(loss_type)), " -", "__")
     return F.when(F.array_contains(F.element_at(known, line), key), key)

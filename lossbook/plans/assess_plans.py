@@ -113,7 +113,7 @@ def claims_created(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every status against every other, from the statuses that occur."""
-    table = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    table = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     seen = load(spark, sf_dir, "cases").select("status").distinct()
     a, b = seen.select(F.col("status").alias("current")), F.broadcast(seen.select(F.col("status").alias("target")))
     allowed = F.coalesce(F.array_contains(F.element_at(table, F.col("current")), F.col("target")), F.lit(False))
@@ -212,7 +212,7 @@ cv AS (SELECT *, CASE WHEN policy_id IS NULL THEN 'policy_not_located' WHEN c_fo
 
 
 def _hits(text: str, keywords: str) -> str:
-    return " + ".join(f"(CASE WHEN contains({text}, '{k}') THEN {1 + 0.5 * k.count(' ')} ELSE 0 END)" for k in keywords.split("|"))
+    return " + ".join(f"(CASE WHEN contains({text}, '{k}') THEN {1 + 0.5 * k.count(' ')} ELSE 0 END)" for k in keywords)
 
 
 def _classify(text: str, policy_line: str | None) -> str:
@@ -310,7 +310,7 @@ SELECT case_id, CASE WHEN told IN ({d.quoted(LINE_KEYWORDS)}) THEN told ELSE lin
   CASE WHEN coalesce(trim(loss_description), '') = '' THEN 'loss_description' END] IF x IS NOT NULL], ',') AS blockers FROM az""",
     "claims_created": oracle_with("cases", "claims") + """ SELECT case_id, 'CLM-' || year(received_at)::VARCHAR || '-' || lpad((row_number() OVER (PARTITION BY year(received_at) ORDER BY received_at, case_id))::VARCHAR, 6, '0') AS claim_reference,
   insured_name, coalesce(estimated_loss_minor, 0) AS reserve_minor, severity FROM cases WHERE status = 'ready_for_claim' AND policy_confirmed AND case_id NOT IN (SELECT claim_id FROM claims)""",
-    "lifecycle_transitions": oracle_with("cases") + ", s AS (SELECT DISTINCT status FROM cases), t AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, v in TRANSITIONS.items() for b in v.split())
+    "lifecycle_transitions": oracle_with("cases") + ", s AS (SELECT DISTINCT status FROM cases), t AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, v in TRANSITIONS.items() for b in v)
     + ") v(a, b)) SELECT x.status AS current, y.status AS target, x.status = y.status OR EXISTS (SELECT 1 FROM t WHERE a = x.status AND b = y.status) AS allowed FROM s x, s y",
     "handler_scores": _HANDLERS + " SELECT team, required_skill, severity, line_of_business, country, handler_id, score, blocked FROM hy",
     "assignment": _HANDLERS + """, hz AS (SELECT *, row_number() OVER w AS place, lead(blocked) OVER w AS nb, lead(score) OVER w AS ns FROM hy

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lossbook.vocab import STATUSES
+
 AS_OF = "2001-08-02 00:00:00"
 
 _LINE = """CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'motor' WHEN 'BUILDING' THEN 'property' WHEN 'FURNITURE' THEN 'marine'
@@ -40,6 +42,7 @@ SELECT CAST(c_custkey AS BIGINT) AS policy_id,
   c_name AS insured_name, CASE WHEN c_custkey % 6 = 0 THEN c_name || ' Holdings' END AS insured_organisation,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS STRING) || '@mail' || CAST(c_custkey % 50 AS STRING) || '.example.com' END AS insured_email,
   'Brk' || lpad(CAST(c_custkey % 4999 AS STRING), 4, '0') || ' Partners' AS broker_name,
+  CASE WHEN c_custkey % 3 = 0 THEN 'BR-brk' || lpad(CAST((c_custkey + 3) % 4999 AS STRING), 4, '0') || ' brokers/' || CAST(c_custkey % 10 AS STRING) END AS broker_reference,
   {_LINE} AS line_of_business,
   CASE WHEN c_custkey % 11 = 0 THEN 'lapsed' ELSE 'active' END AS status,
   CAST(DATE '1995-01-01' + INTERVAL '1' DAY * CAST(c_custkey % 1200 AS INT) AS DATE) AS effective_date,
@@ -53,7 +56,7 @@ FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} O
 
 CASES = f"""
 SELECT k AS case_id, custkey, 'FNOL-' || CAST(year(received_at) AS STRING) || '-' || lpad(CAST(k AS STRING), 6, '0') AS reference,
-  {_pick("k", "received processing needs_review incomplete possible_duplicate policy_match_required ai_processing_failed ready_for_claim referred claim_created rejected cancelled".split())} AS status,
+  {_pick("k", list(STATUSES))} AS status,
   {_pick("k", ["email", "portal", "phone", "api", "broker"])} AS channel,
   {_pick("k", ["low", "medium", "high", "critical", "medium", None, "low"])} AS severity,
   CASE WHEN k % 3 = 0 THEN NULL ELSE k % 100 END AS assigned_to,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
+from lossbook import thresholds
 from lossbook.operators import assessment, matching, merge, triage
 from lossbook.sources import documents
 from lossbook.streaming.intake import distinct_messages
@@ -43,10 +45,58 @@ def test_classification(spark):
 
 
 def test_candidates_equal_brute_force(spark):
-    cases = spark.createDataFrame([(i, f"POL {i % 7}", f"Name{i % 5} Ltd", None, f"Brk{i % 3} x", None) for i in range(20)], "case_id long, policy_number string, insured_name string, insured_organisation string, reporter_organisation string, reporter_email string")
-    policies = spark.createDataFrame([(j, f"pol-{j}", f"name{j} limited", None, f"brk{j} y", None) for j in range(8)], "policy_id long, policy_number string, insured_name string, insured_organisation string, broker_name string, insured_email string")
-    want = {(i, j) for i in range(20) for j in range(8) if i % 7 == j or i % 5 == j or i % 3 == j}
-    assert {tuple(r) for r in matching.policy_candidates(cases, policies).collect()} == want
+    """Numbers and first words within longer ones, broker references, emails, and country, line and date where a notice tells nothing else."""
+    day = datetime.date(2001, 5, 5)
+    cases = [(i, f"20{i % 7}", f"Name{i % 5} Ltd", None, f"Brk{i % 3} x", None, "france", "motor", day) for i in range(20)]
+    cases += [(30, "2026-0041", None, None, None, None, None, None, None), (31, None, "Logistics", None, None, None, None, None, None), (32, None, "of", None, None, None, None, None, None)]
+    cases += [(40, None, None, None, None, None, "France ", None, day), (41, None, "", None, None, None, None, "motor", None), (42, None, None, None, None, None, None, None, None), (43, None, None, None, "Alpha", None, None, None, None)]
+    cases += [(44, None, None, None, None, " A@B.com", None, None, None), (45, "--", None, None, None, None, "spain", "motor", datetime.date(1990, 1, 1)), (46, None, "50%_", None, None, None, None, None, None)]
+    policies = [(j, f"pol-20{j}", f"name{j} limited", None, f"brk{j} y", None, None, "France" if j % 2 else "Spain", "motor" if j % 3 else "marine", datetime.date(2001, 1, 1), datetime.date(2001, 12, 31)) for j in range(8)]
+    policies += [(20, "POL-2026-0041", "Northline Logistics Ltd", "Loft Holdings", "b", "ref/alpha/9", "a@b.com", "Spain", "motor", datetime.date(1989, 1, 1), datetime.date(1991, 1, 1))]
+    c = spark.createDataFrame([(*x[:8], x[8] and datetime.datetime.combine(x[8], datetime.time())) for x in cases], "case_id long, policy_number string, insured_name string, insured_organisation string, reporter_organisation string, reporter_email string, loss_country string, line_of_business string, date_of_loss timestamp_ntz")
+    p = spark.createDataFrame(policies, "policy_id long, policy_number string, insured_name string, insured_organisation string, broker_name string, broker_reference string, insured_email string, country string, line_of_business string, effective_date date, expiry_date date")
+    form = lambda x: "".join(ch for ch in (x or "").lower() if ch.isalnum())
+    lead = lambda x: next((w for w in (x or "").split() if len(w) > 2), (x or "").strip()).lower()
+    within = lambda k, v: bool(k) and k in (v or "").lower()
+    want = set()
+    for cid, number, insured, org, broker, email, country, line, loss in cases:
+        told = [form(number), lead(insured), lead(org), lead(broker), (email or "").strip()]
+        for pid, pn, pi, po, pb, pr, pe, pc, pl, first, last in policies:
+            if any(told):
+                hit = within(form(number), form(pn)) or within(lead(insured), pi) or within(lead(org), po) or within(lead(broker), pb) or within((broker or "").strip().lower(), pr) or (email and (pe or "") == email.strip().lower())
+            else:
+                hit = (not country or country.strip().lower() == pc.lower()) and (not line or line == pl) and (not loss or first <= loss <= last)
+            want |= {(cid, pid)} if hit else set()
+    assert {tuple(r) for r in matching.policy_candidates(c, p).collect()} == want
+    few = matching.policy_candidates(c, p, thresholds.Thresholds(policy_candidates=2)).collect()
+    order = {x[0]: (x[1], x[0]) for x in policies}
+    assert {tuple(r) for r in few} == {(k, x) for k in {a for a, _ in want} for x in sorted((y for a, y in want if a == k), key=order.get)[:2]}
+
+
+def test_duplicate_candidates_equal_brute_force(spark):
+    """Every signal alone makes a candidate, the newest are kept, and a first word that all records share is no reason to lose one."""
+    rng = random.Random(3)
+    start = datetime.datetime(2001, 3, 1)
+    rows = []
+    for i in range(160):
+        loss = None if i % 19 == 0 else start + datetime.timedelta(minutes=rng.randrange(60 * 24 * 40))
+        rows.append((i, rng.choice([None, "", f"P-{i % 30}", f"xP-{i % 30}9"]), rng.choice([None, i % 25]), rng.choice([None, "The Mill", f"Acme{i % 40} Ltd", "of"]), rng.choice([None, f"E{i % 20}"]), loss, start + datetime.timedelta(hours=i % 90)))
+    rows += [(200, None, None, "Solo", None, start, start), (201, None, None, "Other", None, start + datetime.timedelta(days=3), start), (202, None, None, "Third", None, start + datetime.timedelta(days=3, microseconds=1), start)]
+    frame = spark.createDataFrame(rows, "id long, policy_number string, policy_id long, insured_name string, external_reference string, date_of_loss timestamp_ntz, moment timestamp_ntz")
+    lead = lambda x: next((w for w in (x or "").split() if len(w) > 2), (x or "").strip()).lower()
+    for most in (50, 5):
+        want = set()
+        for a in rows:
+            found = []
+            for b in rows:
+                near = a[5] and b[5] and abs(a[5] - b[5]) <= datetime.timedelta(days=3)
+                number, name = (a[1] or "").strip().lower(), lead(a[3])
+                hit = (number and number in (b[1] or "").lower()) or (a[2] is not None and a[2] == b[2]) or (name and name in (b[3] or "").lower()) or (a[4] and a[4] == b[4]) or near
+                if hit and a[0] != b[0] and b[6] >= start + datetime.timedelta(hours=-1):
+                    found.append(b)
+            want |= {(a[0], b[0]) for b in sorted(found, key=lambda b: (-b[6].timestamp(), b[0]))[:most]}
+        got = matching.duplicate_candidates(frame, frame, "2001-02-28 23:00:00", F.col("external_reference"), F.col("external_reference"), limits=thresholds.Thresholds(duplicate_candidates=most))
+        assert {tuple(r) for r in got.collect()} == want
 
 
 def test_readers(spark):
