@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lossbook.vocab import COMPANY_SUFFIXES, STOPWORDS
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(p := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and p != c]
+_ACCENTED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
+_PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
+_LIGATURES = {c: unicodedata.normalize("NFKD", c) for c in map(chr, range(0xFB00, 0xFB05))}
 
 
 def normalise(value: Column) -> Column:
-    """Trimmed, lower case, without accents (Latin-1 letters), white space as one space; null becomes ''."""
+    """Trimmed, lower case, without the accents of Latin letters and with ligatures taken apart, white space as one space; null becomes ''.
+
+    Letters that have no decomposition, as ø and ł, stay.
+    """
     folded = F.translate(F.lower(F.coalesce(value, F.lit(""))), _ACCENTED, _PLAIN)
+    for ligature, letters in _LIGATURES.items():
+        folded = F.replace(folded, F.lit(ligature), F.lit(letters))
     return F.btrim(F.regexp_replace(folded, r"\s+", " "))
 
 

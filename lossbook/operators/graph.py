@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +51,3 @@ def summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("type").isin("organisation", "person")).alias("parties"), F.count_if(F.col("flag") == "watch").alias("watched")
     )
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -51,8 +51,9 @@ def merge_exceptions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def first_arrivals(messages: DataFrame, key: str, order: Sequence[str], known: DataFrame | None = None) -> DataFrame:
-    """Idempotent intake: the first message of each key that isn't known yet; messages without a key all pass."""
-    keyed = messages.filter(F.col(key).isNotNull()).withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("n = 1").drop("n")
+    """Idempotent intake: the first message of each key that isn't known yet; messages without a key all pass. One partial aggregate, so a key with many repeats never meets in one task."""
+    whole = F.struct(*messages.columns)
+    keyed = messages.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(whole, F.struct(*[F.col(c).isNull() for c in order], *order)).alias("first")).select("first.*")
     rows = keyed if known is None else keyed.join(known.select(key), key, "left_anti").select(*messages.columns)
     return rows.unionByName(messages.filter(F.col(key).isNull()))
 
@@ -64,10 +65,14 @@ def memo(fingerprints: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, moment: str, key: str) -> DataFrame:
-    """Gap-free references for each year in order of arrival: numbered within a day, after the days before it."""
-    year, day = F.year(moment), F.to_date(moment)
-    days = rows.groupBy(year.alias("_year"), day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = W.partitionBy("_year").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select("_day", "_ahead")
-    inside = rows.withColumn("_day", day).withColumn("_row", F.row_number().over(W.partitionBy("_day").orderBy(moment, key)))
-    return inside.join(days, "_day").withColumn("reference", F.format_string(f"{prefix}-%04d-%06d", year, F.col("_ahead") + F.col("_row"))).drop("_day", "_row", "_ahead")
+    """Gap-free references for each year in order of arrival: numbered within a quarter of an hour, after the quarters before it.
+
+    Rows without a moment get no number and stay.
+    """
+    year, slot = F.year(moment), F.floor(F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(moment).cast("timestamp_ntz")) / 15)
+    slots = rows.filter(F.col(moment).isNotNull()).groupBy(year.alias("_year"), slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy("_year").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = slots.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select("_slot", "_ahead")
+    inside = rows.withColumn("_slot", slot).withColumn("_row", F.row_number().over(W.partitionBy("_slot").orderBy(moment, key)))
+    numbers = F.when(F.col("_ahead").isNotNull(), F.format_string(f"{prefix}-%04d-%06d", year, F.col("_ahead") + F.col("_row")))
+    return inside.join(slots, "_slot", "left").withColumn("reference", numbers).drop("_slot", "_row", "_ahead")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossbook.functions.text import title_case
-from lossbook.vocab import BLOCKING_CODES, REVIEW_STATUSES
+from lossbook.vocab import CURRENCY_SIGNS, BLOCKING_CODES, REVIEW_STATUSES
 
 SEVERITY_ORDER = ("critical", "high", "medium", "low")
 PRIORITY_ORDER = ("urgent", "high", "standard", "routine")
@@ -152,10 +152,12 @@ def policies_by_number(policies: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.withColumn("key", normal(F.col("number"))).join(policies.withColumn("key", normal(F.col("policy_number"))), "key")
 
 
-def money(minor: Column) -> Column:
-    """Compact pounds: £4.82m, £128k, £940."""
-    pounds = minor / 100
-    trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
-    millions = F.concat(F.lit("£"), trim(F.format_string("%.2f", pounds / 1e6)), F.lit("m"))
-    thousands = F.concat(F.lit("£"), F.round(pounds / 1e3).cast("long").cast("string"), F.lit("k"))
-    return F.when(pounds >= 1e6, millions).when(pounds >= 1e3, thousands).otherwise(F.concat(F.lit("£"), F.round(pounds).cast("long").cast("string")))
+def money(minor: Column, currency: Column) -> Column:
+    """Compact amounts: £4.82m, $128k, €1.2k, £940; other currencies have no sign."""
+    sign = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair]), currency), F.lit(""))
+    units = minor / 100
+    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"0+$", ""), r"\.$", "")
+    millions = F.concat(trim(F.format_number(units / 1e6, 2)), F.lit("m"))
+    thousands = F.concat(trim(F.format_number(units / 1e3, 1)), F.lit("k"))
+    whole = F.format_string("%,d", F.bround(units, 0).cast("long"))
+    return F.when(minor.isNotNull(), F.concat(sign, F.when(F.abs(units) >= 1e6, millions).when(F.abs(units) >= 1e3, thousands).otherwise(whole)))

@@ -72,7 +72,7 @@ def classify_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fraud(_with_policy(spark, sf_dir)).select("case_id", triage.triage(F.col("severity"), F.col("f.level"), F.col("case_id") % 43 == 0).alias("t"))
+    rows = triage.triaged(_fraud(_with_policy(spark, sf_dir)), F.col("severity"), F.col("f.level"), F.col("case_id") % 43 == 0)
     return rows.select("case_id", F.array_join("t.categories", ",").alias("categories"), "t.route", "t.team", "t.required_skill", "t.priority", "t.confidence")
 
 
@@ -121,7 +121,7 @@ def lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _demands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fraud(_with_policy(spark, sf_dir)).withColumn("t", triage.triage(F.col("severity"), F.col("f.level"), F.col("case_id") % 43 == 0))
+    rows = triage.triaged(_fraud(_with_policy(spark, sf_dir)), F.col("severity"), F.col("f.level"), F.col("case_id") % 43 == 0)
     return rows.select(F.col("case_id").alias("claim_id"), "t.team", "t.required_skill", "severity", "line_of_business", F.col("loss_country").alias("country"))
 
 
@@ -229,7 +229,7 @@ def _any(text: str, phrases) -> str:
     return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
 
 
-_TRIAGE = f""", ta AS (SELECT *, {d.norm("concat_ws(' ', loss_description, cause_of_loss, affected_assets)")} AS ttxt, case_id % 43 = 0 AS cat FROM fl),
+_TRIAGE = f""", ta AS (SELECT *, {d.norm("concat_ws(' ', loss_description, cause_of_loss, affected_assets, authorities_involved, source_body)")} AS ttxt, case_id % 43 = 0 AS cat FROM fl),
 tb AS (SELECT *, level IN ('medium', 'high') AS t1, potential_litigation OR {_any("ttxt", LITIGATION_SIGNALS)} AS t2, coalesce(estimated_loss_minor, 0) >= 50000000 AS large,
   coalesce(estimated_loss_minor, 0) < 50000000 AND coalesce(severity = 'critical', false) AS crit, coalesce(fatalities, 0) > 0 OR {_any("ttxt", INJURY_SIGNALS)} AS hurt,
   coalesce(line_of_business IN ({d.quoted(SPECIALIST_LINES)}), false) AS t5,
@@ -316,7 +316,10 @@ SELECT case_id, CASE WHEN told IN ({d.quoted(LINE_KEYWORDS)}) THEN told ELSE lin
     "assignment": _HANDLERS + """, hz AS (SELECT *, row_number() OVER w AS place, lead(blocked) OVER w AS nb, lead(score) OVER w AS ns FROM hy
   WINDOW w AS (PARTITION BY team, required_skill, severity, line_of_business, country ORDER BY blocked, score DESC, full_name, handler_id))
 SELECT te.case_id AS claim_id, CASE WHEN NOT blocked THEN handler_id END AS handler_id, te.team || ' queue' AS queue, CASE WHEN blocked THEN 'queue' WHEN te.required_skill IS NOT NULL THEN 'skill_based' ELSE 'workload' END AS strategy,
-  CASE WHEN NOT blocked THEN floor((least(9500, 5000 + round(score * 10000)::BIGINT - round(coalesce(CASE WHEN NOT nb THEN ns END, 0) * 10000)::BIGINT) + 50) / 100.0::DOUBLE) / 100.0::DOUBLE ELSE 0::DOUBLE END AS confidence
+  CASE WHEN NOT blocked THEN floor((least(9500, 5000 + round(score * 10000)::BIGINT - round(coalesce(CASE WHEN NOT nb THEN ns END, 0) * 10000)::BIGINT) + 50) / 100.0::DOUBLE) / 100.0::DOUBLE ELSE 0::DOUBLE END AS confidence,
+  (SELECT coalesce(string_agg(o.handler_id::VARCHAR, ',' ORDER BY o.place), '') FROM hz o WHERE o.team = hz.team AND o.required_skill IS NOT DISTINCT FROM hz.required_skill
+    AND o.severity IS NOT DISTINCT FROM hz.severity AND o.line_of_business IS NOT DISTINCT FROM hz.line_of_business AND o.country IS NOT DISTINCT FROM hz.country
+    AND CASE WHEN hz.blocked THEN o.place <= 3 ELSE o.place BETWEEN 2 AND 4 AND NOT o.blocked END) AS alternates
 FROM te JOIN hz ON place = 1 AND te.team = hz.team AND te.required_skill IS NOT DISTINCT FROM hz.required_skill AND te.severity IS NOT DISTINCT FROM hz.severity
   AND te.line_of_business IS NOT DISTINCT FROM hz.line_of_business AND te.loss_country IS NOT DISTINCT FROM hz.country""",
     "over_authority": oracle_with("claims", "handlers") + " SELECT claim_id, handler_id, reserve_minor - authority_minor AS excess_minor FROM claims JOIN handlers USING (handler_id) WHERE reserve_minor > authority_minor",

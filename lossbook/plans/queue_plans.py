@@ -71,7 +71,7 @@ def reference_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "claims").select("claim_id", queue.money(F.col("reserve_minor")).alias("label"))
+    return load(spark, sf_dir, "claims").select("claim_id", queue.money(F.col("reserve_minor"), F.col("currency")).alias("label"))
 
 
 _TITLE = """concat_ws(' — ', coalesce({loss}, nullif(left(trim(string_split(loss_description, '.')[1]), 60), ''), {line}, 'Notice'),
@@ -131,7 +131,9 @@ SELECT c.case_id, p.policy_id, p.policy_number FROM cases c JOIN policies p ON {
     "reference_sequence": oracle_with("cases") + """
 SELECT case_id, 'FNOL-' || year(received_at)::VARCHAR || '-' || lpad((row_number() OVER (PARTITION BY year(received_at) ORDER BY received_at, case_id))::VARCHAR, 6, '0') AS reference FROM cases""",
     "money_labels": oracle_with("claims") + """
-SELECT claim_id, CASE WHEN reserve_minor / 100.0 >= 1e6 THEN '£' || regexp_replace(printf('%.2f', reserve_minor / 100.0 / 1e6), '\\.?0+$', '') || 'm'
-  WHEN reserve_minor / 100.0 >= 1e3 THEN '£' || round(reserve_minor::DOUBLE / 100 / 1e3)::BIGINT::VARCHAR || 'k' ELSE '£' || round(reserve_minor::DOUBLE / 100)::BIGINT::VARCHAR END AS label FROM claims""",
+SELECT claim_id, CASE currency WHEN 'GBP' THEN '£' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'SGD' THEN 'S$' ELSE '' END ||
+  CASE WHEN abs(reserve_minor) >= 100000000 THEN regexp_replace(regexp_replace(format('{:,.2f}', reserve_minor / 100000000.0::DOUBLE), '0+$', ''), '\\.$', '') || 'm'
+    WHEN abs(reserve_minor) >= 100000 THEN regexp_replace(regexp_replace(format('{:,.1f}', reserve_minor / 100000.0::DOUBLE), '0+$', ''), '\\.$', '') || 'k'
+    ELSE format('{:,}', round_even(reserve_minor / 100.0::DOUBLE, 0)::BIGINT) END AS label FROM claims""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -79,6 +79,8 @@ SELECT k AS case_id, custkey, 'FNOL-' || CAST(year(received_at) AS STRING) || '-
   {_pick("k", ["fire", "flood", None, "theft", "storm", "collision", "explosion"])} AS cause_of_loss,
   {_pick("k", ["fire", "flood", "theft", None])} AS loss_type,
   {_pick("k", ["stock and racking", "vehicle AB12 CDE", None, "vessel and cargo"])} AS affected_assets,
+  {_pick("k", [None, "Police", None, "County court officer", None, "Fire service", None, None, None])} AS authorities_involved,
+  {_pick("k", [None, "Please find the notice enclosed.", None, "We enclose a letter of claim.", "The driver is in intensive care.", None, None, "See below.", None, None, None])} AS source_body,
   CASE WHEN k % 6 = 5 THEN NULL ELSE {_LINE} END AS line_of_business,
   CASE WHEN k % 23 = 0 THEN NULL ELSE CAST(k % 5 AS INT) END AS injuries, CASE WHEN k % 211 = 0 THEN 1 ELSE 0 END AS fatalities,
   k % 13 = 0 AS business_interruption, k % 17 = 0 AS structural_damage, k % 19 = 0 AS environmental_exposure, k % 37 = 0 AS potential_litigation,

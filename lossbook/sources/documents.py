@@ -5,11 +5,13 @@ Readers of container formats (JSON of any depth, DOCX, XLSX) run as Arrow-batche
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
 import zipfile
 from collections.abc import Callable, Iterable
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,15 +67,27 @@ def read_office(content: bytes) -> str:
     """Text nodes of a zipped office document, a line for each paragraph or row; at most 20 parts are read."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = [n for n in archive.namelist() if re.match(r"(word/document|xl/sharedStrings|xl/worksheets/.*)\.xml$", n)]
+        names = [n for n in archive.namelist() if re.match(r"(word/[^/]+|xl/sharedStrings|xl/worksheets/[^/]+)\.xml$", n)]
         for name in names[:20]:
-            xml = re.sub(r"</(?:w:p|row|si)>", "\n", archive.read(name).decode("utf-8", "replace"))
-            out.append(re.sub(r"<[^>]+>", "", xml))
-    return "\n".join(out)
+            for part in ElementTree.fromstring(archive.read(name)).iter():
+                tag = part.tag.rpartition("}")[2]
+                if tag in ("p", "row", "si"):
+                    out.append("\n")
+                if tag in ("t", "v") and part.text:
+                    out.append(part.text + ("" if tag == "t" else " "))
+    return re.sub(r"\n\s*", "\n", "".join(out)).strip()
+
+
+def read_csv(content: bytes) -> str:
+    """A line for each row with its header repeated: ``H: v; H: v``; blank values are left out."""
+    rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace")))
+    lines = ["; ".join(f"{k}: {v}" for k, v in row.items() if isinstance(k, str) and isinstance(v, str) and v.strip()) for row in rows]
+    return "\n".join(line for line in lines if line)
 
 
 READERS: dict[str, Callable[[bytes], str]] = {
     "application/json": read_json,
+    "text/csv": read_csv,
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": read_office,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": read_office,
 }
@@ -84,24 +98,29 @@ def register_reader(content_type: str, reader: Callable[[bytes], str]) -> None:
 
 
 def read_attachments(files: DataFrame, size: int = 40_000) -> DataFrame:
-    """files: filename, content_type, content -> with text, status (extracted, unsupported, failed), checksum and kind."""
+    """files: filename, content_type, content -> with text, status (extracted, unsupported, failed), reason, checksum and kind.
+
+    A file of a kind that nothing reads, or without text, is unsupported and says why; content that is null has failed.
+    """
     ship(files.sparkSession)
     readers = dict(READERS)
 
-    @F.pandas_udf("struct<text:string,status:string>")
+    @F.pandas_udf("struct<text:string,status:string,reason:string>")
     def read(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
         rows = []
         for kind, content in zip(kinds, contents, strict=True):
             try:
                 if kind in readers:
-                    rows.append((readers[kind](content), "extracted"))
+                    text = readers[kind](content)
                 elif (kind or "").startswith("text/") or kind == "message/rfc822":
-                    rows.append((content.decode("utf-8", "replace"), "extracted"))
+                    text = content.decode("utf-8", "replace")
                 else:
-                    rows.append((None, "unsupported"))
-            except Exception:  # a file that can't be read is a result, not a failure of the job
-                rows.append((None, "failed"))
-        return pd.DataFrame(rows, columns=["text", "status"])
+                    rows.append((None, "unsupported", f"no reader for {kind or 'an unknown kind'}"))
+                    continue
+                rows.append((text, "extracted", None) if text.strip() else (None, "unsupported", "no text"))
+            except Exception as error:  # a file that can't be read is a result, not a failure of the job
+                rows.append((None, "failed", type(error).__name__))
+        return pd.DataFrame(rows, columns=["text", "status", "reason"])
 
     kind = (
         F.when(F.col("content_type").startswith("image/"), "photo").when(F.col("content_type").rlike("csv|spreadsheet|excel"), "spreadsheet")
@@ -109,5 +128,5 @@ def read_attachments(files: DataFrame, size: int = 40_000) -> DataFrame:
     )
     rows = files.withColumn("r", read("content_type", "content"))
     return rows.select(
-        "filename", "content_type", F.left(F.btrim("r.text", F.lit(" \t\r\n")), F.lit(size)).alias("text"), F.col("r.status").alias("status"), F.sha2("content", 256).alias("checksum"), kind.alias("kind")
+        "filename", "content_type", F.left(F.btrim("r.text", F.lit(" \t\r\n")), F.lit(size)).alias("text"), F.col("r.status").alias("status"), F.col("r.reason").alias("reason"), F.sha2("content", 256).alias("checksum"), kind.alias("kind")
     )

@@ -10,7 +10,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from lossbook import thresholds
-from lossbook.operators import assessment, matching, merge, triage
+from lossbook.operators import assessment, matching, merge, queue, triage
 from lossbook.sources import documents
 from lossbook.streaming.intake import distinct_messages
 
@@ -107,17 +107,40 @@ def test_readers(spark):
         return data.getvalue()
 
     docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    several = io.BytesIO()
+    with zipfile.ZipFile(several, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:d {word}><w:p><w:t>Fire &amp; smoke</w:t></w:p></w:d>")
+        archive.writestr("word/header1.xml", f"<w:h {word}><w:p><w:t>Northline</w:t></w:p></w:h>")
     rows = [
         ("a.json", "application/json", b'{"a": {"b": [1, "x"]}, "c": null}'), ("b.json", "application/json", b"{oops"), ("c.txt", "text/plain", b"hello\xff"), ("d.png", "image/png", b"\x89PNG"),
-        ("e.docx", docx, office("word/document.xml", "<w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p>")), ("f.docx", docx, b"not a zip"),
+        ("e.docx", docx, office("word/document.xml", f"<w:d {word}><w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p></w:d>")), ("f.docx", docx, b"not a zip"),
+        ("g.docx", docx, several.getvalue()), ("h.csv", "text/csv", b"name,loss,note\nAnn,12,\nBob,,x\n"), ("i.txt", "text/plain", b"  \n"), ("j.txt", "text/plain", None),
     ]
-    got = {r.filename: (r.text, r.status) for r in documents.read_attachments(spark.createDataFrame(rows, "filename string, content_type string, content binary")).collect()}
+    got = {r.filename: (r.text, r.status, r.reason) for r in documents.read_attachments(spark.createDataFrame(rows, "filename string, content_type string, content binary")).collect()}
     assert got == {
-        "a.json": ("a b[0]: 1\na b[1]: x", "extracted"), "b.json": (None, "failed"), "c.txt": ("hello�", "extracted"), "d.png": (None, "unsupported"),
-        "e.docx": ("One\nTwo", "extracted"), "f.docx": (None, "failed"),
+        "a.json": ("a b[0]: 1\na b[1]: x", "extracted", None), "b.json": (None, "failed", "JSONDecodeError"), "c.txt": ("hello\ufffd", "extracted", None),
+        "d.png": (None, "unsupported", "no reader for image/png"), "e.docx": ("One\nTwo", "extracted", None), "f.docx": (None, "failed", "BadZipFile"),
+        "g.docx": ("Fire & smoke\nNorthline", "extracted", None), "h.csv": ("name: Ann; loss: 12\nname: Bob; note: x", "extracted", None),
+        "i.txt": (None, "unsupported", "no text"), "j.txt": (None, "failed", "AttributeError"),
     }
 
 
+def test_rows_without_a_moment_and_hot_keys(spark):
+    """Numbering keeps rows without a moment; of many repeats of one key the first stays."""
+    rows = spark.sql("SELECT id, CASE WHEN id < 3 THEN NULL ELSE timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT) % 2) END AS at FROM range(10)")
+    got = merge.numbered(rows, "FNOL", "at", "id").collect()
+    assert len(got) == 10 and sum(r.reference is None for r in got) == 3 and {r.reference for r in got if r.reference} == {f"FNOL-2001-{n:06d}" for n in range(1, 8)}
+    hot = spark.range(1000).select(F.when(F.col("id") < 990, "same").alias("k"), (1000 - F.col("id")).alias("n"), F.col("id"))
+    assert sorted((r.k, r.n) for r in merge.first_arrivals(hot, "k", ("n",)).collect() if r.k) == [("same", 11)] and merge.first_arrivals(hot, "k", ("n",)).count() == 11
+
+
+def test_money_labels(spark):
+    rows = [(94_000, "GBP"), (120_000, "USD"), (48_200_000_00, "EUR"), (99_999_999, "GBP"), (-150_000, "SGD"), (12_345_678_900, "JPY"), (None, "GBP"), (50, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m long, c string").coalesce(1).select(queue.money(F.col("m"), F.col("c"))).collect()]
+    assert got == ["£940", "$1.2k", "€48.2m", "£1,000k", "S$-1.5k", "123.46m", None, "0"]
+
+
 def test_stream_drops_redelivery(spark, tmp_path):
     rows = spark.createDataFrame([("m1", "2024-01-01 00:00:00"), ("m1", "2024-01-01 00:05:00"), ("m2", "2024-01-01 00:06:00")], "message_id string, t string")
     rows.select("message_id", F.col("t").cast("timestamp").alias("received_at")).write.parquet(f"{tmp_path}/in")
