@@ -192,7 +192,7 @@ def _token_groups(classes: DataFrame) -> DataFrame:
 
 def _overlap(a: str, b: str):
     """Tokens that sets of a and b must have in common."""
-    return F.ceil((F.col(a) + F.col(b)) * THRESHOLD / (100 + THRESHOLD))
+    return F.ceil((F.col(a).cast("long") + F.col(b)) * THRESHOLD / (100 + THRESHOLD))
 
 
 def _filtered(pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -285,11 +285,14 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _sized(a: str, b: str):
     """False where sizes rule a link out; a null size (a doc_id with several sets) rules nothing out."""
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), True).otherwise(F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD)
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), True).otherwise(F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * THRESHOLD)
 
 
 def _open_groups(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of token groups that hold several components, with the hubs of the first and the last component there."""
+    """Members of token groups that hold several components, with the hubs of the first and the last component there.
+
+    Merging only closes groups, so each round starts from the members that the one before left.
+    """
     if labels is None:
         marked = groups.withColumn("component", F.col("class"))
     else:
@@ -342,15 +345,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = saved(small.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
     first = described.filter("n > 0").join(sets.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
     groups = saved(_token_groups(first.select(F.col("id").alias("class"), "prefix")), "jaccard-tokens")
-    own = first.groupBy(F.col("id").alias("class")).agg(F.when(F.min("n") == F.max("n"), F.max("n")).alias("n"))
-    known = groups.groupBy("class").agg(F.count(F.lit(1)).alias("degree")).join(own, "class")
+    own = first.groupBy(F.col("id").alias("class")).agg(F.when(F.min("n") == F.max("n"), F.max("n")).cast("int").alias("n"))
+    known = groups.groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("degree")).join(own, "class")
     groups = saved(groups.join(known, "class"), "jaccard-groups")
-    labels, done = None, None
+    labels, done, members = None, None, groups
     for step in ("first hubs", "hubs", "hubs", "all"):
         if step == "first hubs":
             pairs = _towards_first_hubs(groups)
         else:
-            members = _open_groups(groups, labels)
+            members = _open_groups(members.select(*groups.columns), labels)
             pairs = _across(members) if step == "all" else _towards_hubs(members)
         if done is not None:
             pairs = pairs.join(done, ["class", "centre"], "left_anti")
