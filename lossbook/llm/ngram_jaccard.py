@@ -47,6 +47,8 @@ GRAM, THRESHOLD = 5, 80
 SKETCH_BITS = 22
 SLICE = 1 << 17
 BROADCAST_PAIRS = 200_000
+#: A bitmap of ids has 2**BITMAP_BITS bits (2 MB), whatever the input; 2**15 of them make a row.
+BITMAP_BITS = 24
 MEMBERS_PER_TASK = 32
 #: Prefix tokens that a candidate pair must share, or all that a small set must share.
 SHARED = 8
@@ -190,6 +192,20 @@ def _token_groups(classes: DataFrame) -> DataFrame:
     return map_batches(sorted_by_bucket(sent), answer_places, ANSWERED).select("token", F.col("key").alias("class"), F.col("value").alias("place"))
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be in ids (one column): most others are dropped before a join shuffles them.
+
+    Ids are hashed to the bits of a map of fixed size. It drops no row whose id is there, and fewer of the others the more ids there are.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    place = at(F.col(ids.columns[0]))
+    maps = ids.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    bit = at(F.col("id")).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.shiftright(at(F.col("id")), 15) == F.col("part"))
+    return met.filter(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
+
+
 def _overlap(a: str, b: str):
     """Tokens that sets of a and b must have in common."""
     return F.ceil((F.col(a).cast("long") + F.col(b)) * THRESHOLD / (100 + THRESHOLD))
@@ -200,11 +216,9 @@ def _filtered(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
     With ``o`` the overlap that the sizes ask for, ``k`` shared tokens stand among the first ``n - o + k`` of both sets.
     """
-    prefixes = described.filter("n > 0")
-    a, b = (
-        prefixes.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "p1", "p2", "p3")]).join(pairs.select(k).distinct(), k, "left_semi")
-        for k in ("class", "centre")
-    )
+    wanted = pairs.select(F.explode(F.array("class", "centre")).alias("wanted"))
+    prefixes = saved(_likely(described.select("id", "n", "p1", "p2", "p3").filter("n > 0"), wanted), "jaccard-prefixes")
+    a, b = (prefixes.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "p1", "p2", "p3")]) for k in ("class", "centre"))
     both = pairs.join(a, "class").join(b, "centre").withColumn("o", _overlap("n_class", "n_centre"))
     k = F.least(F.lit(SHARED), F.ceil(F.least("n_class", "n_centre") * THRESHOLD / 100))
     first = lambda p, more: [F.slice(f"{p}_{x}", F.lit(1), F.greatest(F.col(f"n_{x}") - F.col("o") + more, F.lit(0)).cast("int")) for x in ("class", "centre")]
@@ -227,8 +241,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, counted: int) -> DataFrame:
     salted = pairs.join(salts, "centre").select("class", "centre", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = salts.select(F.col("centre").alias("class"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     asked = saved(salted.unionByName(own), "jaccard-asked")
-    asked = F.broadcast(asked) if counted <= BROADCAST_PAIRS else asked
-    texts = docs.join(asked, docs["id"] == asked["class"]).select("class", "centre", "salt", "role", "text")
+    if counted <= BROADCAST_PAIRS:
+        asked = F.broadcast(asked)
+    else:
+        docs = _likely(docs, asked.select("class"))
+    texts = docs.join(asked, F.col("id") == F.col("class")).select("class", "centre", "salt", "role", "text")
 
     def judge(batches):
         at, centres = None, []

@@ -143,6 +143,21 @@ def test_jaccard_brute_force(docs, texts, none):
     assert ngram_jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_without_broadcasts(docs, texts, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_PAIRS", 0)
+    got = ngram_jaccard.jaccard_components(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == jaccard_groups(texts)
+
+
+def test_bitmap_keeps_every_id_that_is_there(spark):
+    rows = spark.range(-300, 3000).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"))
+    ids = spark.range(-200, 200).select((F.col("id") * 7).alias("wanted"))
+    got = {r.id for r in ngram_jaccard._likely(rows, ids).collect()}
+    want = {7 * k for k in range(-200, 200) if -300 <= 7 * k < 3000}
+    assert want <= got and len(got - want) < 20
+    assert ngram_jaccard._likely(rows, ids.limit(0)).count() == 0
+
+
 def test_near_copies_that_mostly_do_not_link(spark):
     """One group of near copies without its original: few pairs reach the threshold, and none of those may be lost."""
     rng = random.Random(8)
