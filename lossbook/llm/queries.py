@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of one folder, and their SQL."""
+"""The operators as queries over the tables of one folder, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossbook.llm import decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, toxicity
+from lossbook.llm import decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse_runs(periodic_runs.with_periods(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
