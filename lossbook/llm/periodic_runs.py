@@ -3,8 +3,8 @@
 A run is a stretch of consecutive words whose smallest period is q, that is at least ``min_words`` and ``min_exponent`` times q long, and that
 no neighbouring word extends with period q. Runs are found by the divide and conquer of Main and Lorentz on interned word ids: a document is
 halved, and halves again; a run lies whole in the part whose middle it crosses first, so each part is asked only for the runs across its middle.
-Such a run has half of its length on one side of the middle, so with exponent e the block of (e/2 - 1) * q words next to the middle comes again q
-words on: the periods of all parts of one level, in all documents of a batch, are tried at once against a few words of that block, and the Z-values at
+Such a run has half of its length on one side of the middle, so the words next to the middle there, half the shortest length less q of them, come again q
+words on: the periods of all parts of one level, in all documents of a batch, are the distances at which the word next to the middle comes again, tried at once against a few words of that block, and the Z-values at
 the middle give how far each period left over extends to either side. A part with few such periods compares the words directly; a
 part with many (a text of one word) makes its Z-functions once, so a part costs time in proportion to its length. Intervals found again with multiples
 of their period, or cut at the edge of a part whose parent holds them whole, are taken out: the smallest period stays.
@@ -27,6 +27,8 @@ from lossbook.llm.words import Chunk, chunks
 
 #: From so many periods on a part makes its Z-functions instead of comparing words period by period.
 MANY = 16
+#: Parts of so many words are compared many at once, ``BLOCK`` rows at a time.
+SHORT, BLOCK = 64, 1 << 13
 RESULT = "n_words long, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
 
 
@@ -76,6 +78,20 @@ def _by_words(part: np.ndarray, middle: int, q: np.ndarray, to_right: bool) -> t
     return starts, ends
 
 
+def _in_rows(ids: np.ndarray, low: np.ndarray, middle: np.ndarray, high: np.ndarray, q: np.ndarray, to_right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_by_words`` for many short parts at once, one row each; places are those of ids."""
+    column = np.arange(int((high - low).max(initial=1)))
+    at = (middle if to_right else middle - q) - low
+    here = low[:, None] + column
+    there = here + q[:, None]
+    differ = there >= high[:, None]
+    differ |= ids[np.minimum(here, len(ids) - 1)] != ids[np.minimum(there, len(ids) - 1)]
+    ahead = (differ & (column >= at[:, None])).argmax(axis=1)
+    before = differ & (column < at[:, None])
+    back = np.where(before.any(axis=1), before.shape[1] - before[:, ::-1].argmax(axis=1), 0)
+    return low + back, low + ahead + q
+
+
 def _smallest(start: np.ndarray, end: np.ndarray, period: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each interval once, with its smallest period, by start and period."""
     order = np.lexsort((period, end, start))
@@ -87,27 +103,52 @@ def _smallest(start: np.ndarray, end: np.ndarray, period: np.ndarray) -> tuple[n
     return start[order], end[order], period[order]
 
 
-def _crossing(ids, low, middle, high, first, last, min_words: int, exponent: int):
+class Places:
+    """Where each word occurs: all places in the order of their word, then of themselves."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.n = ids, len(ids)
+        self.sorted = np.sort(ids.astype(np.int64) * self.n + np.arange(self.n))
+
+    def between(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the request, place) of each occurrence of its word in low..high, by request and place."""
+        base = self.ids[word].astype(np.int64) * self.n
+        first, last = np.searchsorted(self.sorted, base + low), np.searchsorted(self.sorted, base + high, side="right")
+        many = np.maximum(last - first, 0)
+        request = np.repeat(np.arange(len(word)), many)
+        at = np.arange(len(request)) + np.repeat(first - np.cumsum(many) + many, many)
+        return request, self.sorted[at] - base[request]
+
+
+def _crossing(places: Places, low, middle, high, first, last, min_words: int, exponent: int):
     """Runs across the middles of parts [low, high) of documents [first, last)."""
-    most = (high - low) // exponent
-    node = np.repeat(np.arange(len(low)), most)
-    q = np.arange(len(node)) - np.repeat(np.cumsum(most) - most, most) + 1
-    half = (exponent * q + 1) // 2
+    ids, most = places.ids, (high - low) // exponent
     out = []
+
+    def found(node, q, start, end) -> None:
+        long = end - start >= np.maximum(min_words, exponent * q)
+        out.append(np.stack([x[long] for x in (start, end, q, first[node], last[node])]))
+
     for to_right in (True, False):
-        keep = np.arange(len(q)) if to_right else np.flatnonzero(half <= (middle - low)[node])
+        node, at = places.between(middle, middle + 1, middle + most) if to_right else places.between(middle - 1, middle - 1 - most, middle - 2)
+        q = at - middle[node] if to_right else middle[node] - 1 - at
+        half = (np.maximum(min_words, exponent * q) + 1) // 2
+        keep = np.arange(len(q)) if to_right else np.flatnonzero(half <= (middle - low)[node])[::-1]
         block = half - q
-        for near in (lambda b: 0 * b, lambda b: b - 1, lambda b: b // 2, lambda b: b // 4, lambda b: (3 * b) // 4):
-            at = near(block[keep])
+        for eighths in (8, 4, 2, 6, 1, 3, 5, 7):
+            at = (block[keep] - 1) * eighths // 8
             here = middle[node[keep]] + at if to_right else middle[node[keep]] - 1 - at
             keep = keep[ids[here] == ids[here + (q[keep] if to_right else -q[keep])]]
+        short = (high - low)[node[keep]] <= SHORT
+        few, keep = keep[short], keep[~short]
+        for k in range(0, len(few), BLOCK):
+            of = few[k : k + BLOCK]
+            found(node[of], q[of], *_in_rows(ids, low[node[of]], middle[node[of]], high[node[of]], q[of], to_right))
         cuts = np.flatnonzero(np.diff(node[keep])) + 1
         for of in np.split(keep, cuts) if len(keep) else []:
             k = node[of[0]]
-            part = ids[low[k] : high[k]]
-            start, end = (_by_z if len(of) >= MANY else _by_words)(part, int(middle[k] - low[k]), q[of], to_right)
-            long = end - start >= np.maximum(min_words, exponent * q[of])
-            out.append(np.stack([start[long] + low[k], end[long] + low[k], q[of][long], np.full(long.sum(), first[k]), np.full(long.sum(), last[k])]))
+            start, end = (_by_z if len(of) >= MANY else _by_words)(ids[low[k] : high[k]], int(middle[k] - low[k]), q[of], to_right)
+            found(node[of], q[of], start + low[k], end + low[k])
     if not out:
         return []
     start, end, period, begins, stops = np.concatenate(out, axis=1)
@@ -122,14 +163,14 @@ def runs_of(ids: np.ndarray, offsets: np.ndarray, min_words: int = 6, min_expone
         raise ValueError("min_exponent must be 3 or more")
     found = [(np.zeros(0, np.int64),) * 3]
     low, high = offsets[:-1], offsets[1:]
-    first, last = low, high
+    first, last, places = low, high, Places(ids)
     while True:
         big = high - low >= max(min_words, min_exponent)
         low, high, first, last = low[big], high[big], first[big], last[big]
         if not len(low):
             return _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
         middle = (low + high) // 2
-        found += _crossing(ids, low, middle, high, first, last, min_words, min_exponent)
+        found += _crossing(places, low, middle, high, first, last, min_words, min_exponent)
         low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
         first, last = np.concatenate([first, first]), np.concatenate([last, last])
 

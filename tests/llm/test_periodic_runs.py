@@ -50,9 +50,11 @@ def collapsed(words, runs) -> str:
     return " ".join(w for i, w in enumerate(words) if i not in gone)
 
 
-@pytest.mark.parametrize("many", [1, 3, 10**9])
+@pytest.mark.parametrize(("many", "short"), [(1, 0), (3, 0), (10**9, 0), (3, 16), (1, 64)])
 @pytest.mark.parametrize("shape", [(6, 4), (2, 3), (1, 5), (30, 4)])
-def test_runs_against_all_intervals(monkeypatch, many, shape):
+def test_runs_against_all_intervals(monkeypatch, many, short, shape):
+    monkeypatch.setattr(periodic_runs, "SHORT", short)
+    monkeypatch.setattr(periodic_runs, "BLOCK", 7)
     monkeypatch.setattr(periodic_runs, "MANY", many)
     least, exponent = shape
     rng = random.Random(many + exponent)
