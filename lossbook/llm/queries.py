@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossbook.llm import decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity
+from lossbook.llm import centroids, decontaminate, fixity, html_blocks, line_dedup, mixing, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, substring_dedup, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, found).select("vec_id", F.col("cluster").cast("int"), "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.collapse_runs(periodic_runs.with_periods(_table(spark, sf_dir, "documents"))))
 
 
+#: (host, path, verdict) of the query's rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -78,4 +92,6 @@ SELECT doc_id, source, size, source_size, target, (whole + (upto - size / 2.0::D
        ((whole + (upto - size / 2.0::DOUBLE <= extra AND extra > 0)::INT) * size)::BIGINT AS taken
 FROM r
 """,
+        "op11_centroids": centroids.oracle_sql(),
+        "op13_url_rules": url_rules.ORACLE_SQL,
     }
