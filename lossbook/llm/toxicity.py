@@ -267,8 +267,8 @@ def voted(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     return map_batches(rows, run, f"key {docs.schema[key].dataType.simpleString()}, votes binary, x binary, draw long")
 
 
-def fit_classifier(rows: DataFrame, patterns: DataFrame, model: LabelModel, per_class: int = PER_CLASS) -> Classifier:
-    """A linear classifier on the posteriors of at most ``per_class`` documents of either side of 0.5."""
+def fit_classifier(rows: DataFrame, patterns: DataFrame, model: LabelModel, per_class: int = PER_CLASS) -> Classifier | None:
+    """A linear classifier on the posteriors of at most ``per_class`` documents of either side of 0.5; None where all are on one side."""
 
     def judge(batches):
         for batch in batches:
@@ -282,6 +282,8 @@ def fit_classifier(rows: DataFrame, patterns: DataFrame, model: LabelModel, per_
         there = judged.filter(side)
         drawn = rows.join(there, "votes").orderBy("draw", "x").limit(per_class).select("x", "p").collect()
         n = there.agg(F.sum("n")).first()[0] or 0
+        if not drawn:
+            return None
         x += [np.frombuffer(r["x"], np.float32).astype(float) for r in drawn]
         p += [r["p"] for r in drawn]
         size += [n / len(drawn)] * len(drawn)
@@ -307,8 +309,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(float)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classifier.score(x))], names=["key", "score"])
-
-        scored = map_batches(rows.select("key", "x"), run, f"key {docs.schema['doc_id'].dataType.simpleString()}, score double")
+                    read = b"".join(batch.column(1).to_pylist())
+                    if classifier is None:
+                        score = model.posterior(np.frombuffer(read, np.int8).reshape(batch.num_rows, -1).astype(np.int64))
+                    else:
+                        score = classifier.score(np.frombuffer(read, np.float32).reshape(batch.num_rows, -1).astype(float))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["key", "score"])
+
+        scored = map_batches(rows.select("key", "votes" if classifier is None else "x"), run, f"key {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -484,3 +484,16 @@ def test_toxicity_of_awkward_rows(labelled, spark):
     assert len(got) == docs.count() + 4
     assert len({r.score for r in got if r.doc_id == 3001}) == 1 and {r.predicted for r in got if r.doc_id == 3001} == {1}
     assert {r.predicted for r in got if r.doc_id in (3000, 1000, 1001)} == {0}
+
+
+def test_toxicity_where_posteriors_lie_on_one_side(spark):
+    """Two marker words in a third of short documents, documents all alike, and labels of nothing that shows: scores, no crash."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(28)) + (" zork blargh" if i % 3 == 0 else " some words")) for i in range(120)]
+    labels = [(i, int(i % 3 == 0)) for i in range(120)]
+    kinds = ("doc_id long, text string", "doc_id long, toxic int")
+    alike = [(i, "the same words in every text") for i in range(120)]
+    marked = [(i, "zork blargh " * 9) for i in range(60)] + [(i, "zork") for i in range(60, 120)]
+    for texts in (rows, alike, marked, [(i, None) for i in range(120)]):
+        got = toxicity.score_toxicity(spark.createDataFrame(texts, kinds[0]), spark.createDataFrame(labels, kinds[1])).collect()
+        assert len(got) == 120 and all(0 <= r.score <= 1 for r in got)
