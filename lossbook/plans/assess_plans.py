@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lossbook.operators import assessment, merge, triage
 from lossbook.plans import dialect as d
 from lossbook.sources.adapters import load, oracle_with
+from lossbook.store import saved
 from lossbook.vocab import (
     ASSIGNMENT_WEIGHTS, BASE_REQUIRED, BLOCKING_CODES, INJURY_SIGNALS, LINE_KEYWORDS, LINE_REQUIRED, LITIGATION_SIGNALS, ROUTES, SPECIALIST_LINES,
     STATUS_FOR_CODE, TRANSITIONS,
@@ -122,7 +123,9 @@ def lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _demands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triage.triaged(_fraud(_with_policy(spark, sf_dir)), F.col("severity"), F.col("f.level"), F.col("case_id") % 43 == 0)
-    return rows.select(F.col("case_id").alias("claim_id"), "t.team", "t.required_skill", "severity", "line_of_business", F.col("loss_country").alias("country"))
+    return rows.select(
+        F.col("case_id").alias("claim_id"), "t.team", "t.required_skill", "severity", "line_of_business", F.col("loss_country").alias("country"), "t.priority", F.col("received_at").alias("moment")
+    )
 
 
 def handler_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +133,18 @@ def handler_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _demands(spark, sf_dir)
+    claims = saved(_demands(spark, sf_dir), "assignment-claims")
     return triage.assignments(claims, triage.handler_scores(claims, load(spark, sf_dir, "handlers")))
 
 
+def assignment_with_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.assigned_with_load(saved(_demands(spark, sf_dir), "assignment-claims"), load(spark, sf_dir, "handlers"))
+
+
+def handler_load_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.load_after(load(spark, sf_dir, "handlers"), assignment_with_load(spark, sf_dir))
+
+
 def over_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, handlers = load(spark, sf_dir, "claims"), load(spark, sf_dir, "handlers").select("handler_id", "authority_minor")
     over = F.col("reserve_minor") > F.col("authority_minor")
@@ -281,6 +292,27 @@ hx AS (SELECT dm.*, handler_id, full_name, h.team AS own_team,
 hy AS (SELECT *, round({d.mean({"p1": _W["skill"], "p2": _W["team"], "p3": _W["line"], "p4": _W["country"], "p5": _W["authority"], "p6": _W["capacity"]})}, 4) AS score,
   coalesce(p1 = 0, false) OR coalesce(p5 = 0, false) OR full_ AS blocked FROM hx)"""
 
+#: Claims one after the other, each taking the first place of its demand's list that nobody took before it.
+_TURNS = _HANDLERS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+dn AS (SELECT *, row_number() OVER () AS dno FROM dm),
+pl AS (SELECT dno, handler_id, load, round({d.mean({"p1": _W["skill"], "p2": _W["team"], "p3": _W["line"], "p4": _W["country"], "p5": _W["authority"], "p6": _W["capacity"]})}, 4) AS score, full_name FROM (
+  SELECT dno, h.handler_id, h.full_name, x.load, p1, p2, p3, p4, p5, 1 - x.load::DOUBLE / greatest(1, h.capacity) AS p6
+  FROM hy JOIN dn ON hy.team = dn.team AND hy.required_skill IS NOT DISTINCT FROM dn.required_skill AND hy.severity IS NOT DISTINCT FROM dn.severity
+    AND hy.line_of_business IS NOT DISTINCT FROM dn.line_of_business AND hy.country IS NOT DISTINCT FROM dn.country
+  JOIN handlers h ON h.handler_id = hy.handler_id, LATERAL (SELECT unnest(range(h.open_claims, h.capacity)) AS load) x WHERE NOT blocked)),
+lists AS MATERIALIZED (SELECT dno, list({{'h': handler_id, 'l': load, 's': score}} ORDER BY score DESC, full_name, handler_id, load) AS ranked FROM pl GROUP BY dno),
+turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'standard' THEN 2 ELSE 3 END, received_at, case_id) AS n, case_id, ranked
+  FROM te JOIN dn ON te.team = dn.team AND te.required_skill IS NOT DISTINCT FROM dn.required_skill AND te.severity IS NOT DISTINCT FROM dn.severity
+    AND te.line_of_business IS NOT DISTINCT FROM dn.line_of_business AND te.loss_country IS NOT DISTINCT FROM dn.country JOIN lists USING (dno)),
+walk AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS case_id, []::BIGINT[] AS taken, NULL::STRUCT(h BIGINT, l BIGINT, s DOUBLE) AS place
+  UNION ALL
+  SELECT n, case_id, CASE WHEN place IS NULL THEN taken ELSE list_append(taken, place.h * 1000 + place.l) END, place FROM (
+    SELECT t.n, t.case_id, w.taken, [p FOR p IN t.ranked IF NOT list_contains(w.taken, p.h * 1000 + p.l)][1] AS place FROM walk w JOIN turns t ON t.n = w.n + 1)),
+done AS (SELECT te.case_id AS claim_id, place.h AS handler_id, place.l::INT AS open_before, place.s AS score,
+    CASE WHEN place IS NULL THEN 'queue' WHEN required_skill IS NOT NULL THEN 'skill_based' ELSE 'workload' END AS strategy
+  FROM te LEFT JOIN (SELECT * FROM walk WHERE place IS NOT NULL) w USING (case_id))"""
+
 ORACLES = {
     "completeness": oracle_with("cases", "fields") + _SURE + f""", f AS ({_FIELDS}),
 g AS (SELECT f.*, coalesce(s.confidence < 0.6, false) AS unsure FROM f LEFT JOIN sure s USING (case_id, path))
@@ -322,6 +354,9 @@ SELECT te.case_id AS claim_id, CASE WHEN NOT blocked THEN handler_id END AS hand
     AND CASE WHEN hz.blocked THEN o.place <= 3 ELSE o.place BETWEEN 2 AND 4 AND NOT o.blocked END) AS alternates
 FROM te JOIN hz ON place = 1 AND te.team = hz.team AND te.required_skill IS NOT DISTINCT FROM hz.required_skill AND te.severity IS NOT DISTINCT FROM hz.severity
   AND te.line_of_business IS NOT DISTINCT FROM hz.line_of_business AND te.loss_country IS NOT DISTINCT FROM hz.country""",
+    "assignment_with_load": _TURNS + " SELECT * FROM done",
+    "handler_load_after": _TURNS + """, tk AS (SELECT handler_id, count(*) AS taken FROM done WHERE handler_id IS NOT NULL GROUP BY handler_id)
+SELECT handler_id, open_claims AS open_before, coalesce(taken, 0) AS taken, open_claims + coalesce(taken, 0) AS open_after, capacity FROM handlers LEFT JOIN tk USING (handler_id)""",
     "over_authority": oracle_with("claims", "handlers") + " SELECT claim_id, handler_id, reserve_minor - authority_minor AS excess_minor FROM claims JOIN handlers USING (handler_id) WHERE reserve_minor > authority_minor",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
