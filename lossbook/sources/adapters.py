@@ -156,8 +156,21 @@ SELECT CAST(l_orderkey AS BIGINT) AS case_id, CAST(l_linenumber AS INT) AS field
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 """
 
+#: Edits of officers: a log with texts as people type them, some about fields that can't be edited.
+EDITS = """
+SELECT CAST(l_orderkey AS BIGINT) * 8 + CAST(l_linenumber AS BIGINT) AS change_id, CAST(l_orderkey AS BIGINT) AS case_id,
+  CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'loss.injuries' WHEN 1 THEN 'financial.estimated_loss' WHEN 2 THEN 'loss.loss_country' WHEN 3 THEN 'loss.structural_damage'
+    WHEN 4 THEN 'loss.loss_country' WHEN 5 THEN 'notification.reporter_email' ELSE CASE WHEN l_suppkey % 3 = 0 THEN 'policy.limit' ELSE 'loss.injuries' END END AS path,
+  CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN CAST(l_suppkey % 3 AS STRING) WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'much' ELSE 'GBP ' || CAST(l_suppkey % 9 AS STRING) || 'k' END
+    WHEN 2 THEN '  FRANCE ' WHEN 3 THEN CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN 'yes' WHEN 1 THEN 'No' WHEN 2 THEN '' ELSE 'perhaps' END
+    WHEN 4 THEN CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 'SPAIN' END WHEN 5 THEN CASE WHEN l_suppkey % 5 = 0 THEN 'nobody' ELSE 'Ann' || CAST(l_suppkey % 7 AS STRING) || '@Mail.Example.com' END
+    ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'none' ELSE '2 people' END END AS raw,
+  l_shipdate + INTERVAL '1' MINUTE * CAST(l_partkey % 600 AS INT) AS moment, 'officer' || CAST(l_suppkey % 40 AS STRING) AS actor, CASE WHEN l_linenumber % 2 = 0 THEN 'call ' || l_returnflag END AS reason
+FROM {lineitem}
+"""
+
 ADAPTERS = {
-    "policies": POLICIES, "cases": CASES, "claims": CLAIMS, "handlers": HANDLERS, "cat_events": EVENTS, "exceptions": EXCEPTIONS, "fields": FIELDS,
+    "policies": POLICIES, "cases": CASES, "claims": CLAIMS, "handlers": HANDLERS, "cat_events": EVENTS, "exceptions": EXCEPTIONS, "fields": FIELDS, "edits": EDITS,
 }
 SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 
