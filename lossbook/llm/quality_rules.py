@@ -3,7 +3,7 @@
 ``clean_lines`` returns per document its counts, the cleaned text and the
 verdict. Each \\n-split line with a word is failed by the first of these rules
 that applies: boilerplate phrase, symbols, navigation, shouting, repetition,
-missing end punctuation (lines under ``prose_words`` words). A document is rejected if its own counts fail
+missing end punctuation (lines under ``prose_words`` words). Phrases and capitals are those of A-Z and \u00c0-\u00de, ends are whole characters. A document is rejected if its own counts fail
 (fewer than ``min_words`` words; more than ``max_repeat_pct`` percent of its
 words inside repeated 8-word windows) or if failing lines hold more than
 ``max_loss_pct`` percent of its words.
@@ -73,9 +73,26 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-#: Last bytes of a line that ends like a sentence: ASCII marks, closing quotes and brackets, and the last bytes of the ellipsis, curly quotes, guillemets and CJK stops.
-_END = np.zeros(256, bool)
-_END[list(b".!?:;,\"')]") + [0xA6, 0x9D, 0x99, 0xBB, 0x82, 0x81, 0x9F]] = True
+#: Characters that end a line like a sentence: marks, closing quotes and brackets, of all scripts in use.
+ENDS = (".", "!", "?", ":", ";", ",", '"', "'", ")", "]", "\u2026", "\u201d", "\u2019", "\u00bb", "\u3002", "\u3001", "\uff1f", "\uff01")
+
+
+def _ends_well(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at each place is one of ``ENDS``."""
+    out = np.zeros(len(last), bool)
+    for end in (e.encode() for e in ENDS):
+        same = last >= len(end) - 1
+        for k, byte in enumerate(reversed(end)):
+            same &= raw[np.maximum(last - k, 0)] == byte
+        out |= same
+    return out
+
+
+def _latin_capitals(raw: np.ndarray) -> np.ndarray:
+    """Second bytes of \u00c0 to \u00de, without the multiplication sign."""
+    out = np.zeros(len(raw), bool)
+    out[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    return out
 
 
 @dataclass(frozen=True)
@@ -143,12 +160,12 @@ def judge(chunk, rules: LineRules) -> dict[str, np.ndarray]:
     copies[order[1:]] = (whole[order[1:]] == whole[order[:-1]]) & (doc[full][order[1:]] == doc[full][order[:-1]])
     out["n_dup_lines"] = np.bincount(doc[full][copies], minlength=chunk.n)
 
-    def count(table: np.ndarray) -> np.ndarray:
-        return np.bincount(np.searchsorted(starts, np.flatnonzero(table[chunk.raw]), side="right") - 1, minlength=len(starts))
+    def count(bytes_: np.ndarray) -> np.ndarray:
+        return np.bincount(np.searchsorted(starts, np.flatnonzero(bytes_), side="right") - 1, minlength=len(starts))
 
     letters = np.bincount(line_of_word, weights=chunk.ends - chunk.starts, minlength=len(starts))
-    bars = np.zeros(256, bool)
-    bars[ord("|")] = True
+    latin = _latin_capitals(chunk.raw)
+    capitals = count(_UPPER[chunk.raw]) + 2 * count(latin)
     long = words >= rules.min_line_words
     twice = np.zeros(len(hashes), bool)
     twice[1:] = (hashes[1:] == hashes[:-1]) & (line_of_word[1:] == line_of_word[:-1])
@@ -156,15 +173,16 @@ def judge(chunk, rules: LineRules) -> dict[str, np.ndarray]:
     last[line_of_word] = chunk.ends - 1
     furniture = np.zeros(len(starts), bool)
     text = chunk.raw.tobytes()
-    first, last_byte = (np.searchsorted(starts, x, side="right") - 1 for x in _places(text.lower()).T)
+    folded = (chunk.raw + 32 * (latin | _UPPER[chunk.raw])).astype(np.uint8).tobytes()
+    first, last_byte = (np.searchsorted(starts, x, side="right") - 1 for x in _places(folded).T)
     furniture[first[first == last_byte]] = True  # the bytes of two documents that meet make no phrase
     failed = full & (
         furniture
-        | (count(_SYMBOL) > rules.symbols_per_word * words)
-        | (count(bars) > rules.bars_per_word * words)
-        | (long & (count(_UPPER) > rules.upper_share * letters))
+        | (count(_SYMBOL[chunk.raw]) > rules.symbols_per_word * words)
+        | (count(chunk.raw == ord("|")) > rules.bars_per_word * words)
+        | (long & (capitals > rules.upper_share * letters))
         | (long & (np.bincount(line_of_word[twice], minlength=len(starts)) > rules.adjacent_repeats * words))
-        | (~_END[chunk.raw[last]] & (words < rules.prose_words))
+        | (~_ends_well(chunk.raw, last) & (words < rules.prose_words))
     ) if len(chunk.raw) else full
     out["n_lost_words"] = np.bincount(doc, weights=words * failed, minlength=chunk.n).astype(np.int64)
     out["n_failed_lines"] = np.bincount(doc, weights=failed, minlength=chunk.n).astype(np.int64)
