@@ -9,6 +9,7 @@ from lossbook.operators import assessment, book, triage
 from lossbook.plans import assess_plans, match_plans
 from lossbook.plans import dialect as d
 from lossbook.sources.adapters import load, oracle_with
+from lossbook.store import saved
 from lossbook.vocab import BLOCKING_CODES, STATUS_FOR_CODE
 
 READ_COLUMNS = ["insured_name", "policy_number", "loss_location", "loss_country", "loss_description", "cause_of_loss", "loss_type", "affected_assets", "date_of_loss", "estimated_loss_minor", "injuries", "reporter_name"]
@@ -60,14 +61,16 @@ def extraction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases beside what matching found for them: policy, duplicates and catastrophe. An exact match is bound, others stay for a person."""
+    """Cases beside what matching found for them: policy, duplicates and catastrophe. An exact match is bound unless a person confirmed a policy, which stays; others stay for a person."""
     cases = load(spark, sf_dir, "cases")
     ranked = match_plans.policy_match_ranked(spark, sf_dir)
     matches = ranked.groupBy("case_id").agg(F.max("overall").alias("overall"), F.count(F.lit(1)).alias("candidates"), F.min_by("policy_id", "rank").alias("best_policy"))
     twins = match_plans.duplicate_scores(spark, sf_dir).groupBy("case_id").agg(F.count(F.lit(1)).alias("duplicates"), F.max("score").alias("duplicate_score"))
     events = match_plans.cat_attribution(spark, sf_dir).select("case_id", F.col("event_id").alias("cat_event_id"))
+    matches, twins, events = (saved(x, f"book-{name}") for x, name in ((matches, "matches"), (twins, "twins"), (events, "events")))  # later rules read these, not their plans
     rows = cases.join(matches, "case_id", "left").join(twins, "case_id", "left").join(events, "case_id", "left")
-    bound = F.when((F.col("overall") == "exact") | F.col("policy_confirmed"), F.col("best_policy"))
+    stored = F.when(F.col("case_id") % 7 != 0, F.col("custkey"))
+    bound = F.when(F.col("policy_confirmed"), stored).when(F.col("overall") == "exact", F.col("best_policy"))
     policies = load(spark, sf_dir, "policies").select(
         "policy_id", F.col("policy_number").alias("matched_number"), "effective_date", "expiry_date", "limit_minor", "perils", "exclusions", "primary_location", "region",
         F.col("country").alias("policy_country"), F.col("status").alias("policy_status"),
@@ -82,12 +85,19 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("case_id").agg(F.round(F.avg("confidence"), 6).alias("extraction_confidence"), F.count_if("human_modified").alias("corrections"))
 
 
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on a case already: documents that couldn't be read, and whether a person settled the catastrophe match."""
+    settled = (F.col("code") == "cat_match") & (F.col("status") == "resolved")
+    return load(spark, sf_dir, "exceptions").groupBy("case_id").agg(F.count_if(F.col("code") == "document_unreadable").alias("unreadable"), F.max(settled).alias("cat_confirmed"))
+
+
 def assessed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notice from candidates to triage, each rule on what the ones before it found."""
     rows = _upstream(spark, sf_dir).join(assessment.completeness(load(spark, sf_dir, "cases")), "case_id").join(_readings(spark, sf_dir), "case_id", "left")
+    rows = rows.join(_decisions(spark, sf_dir), "case_id", "left")
     cat = F.col("cat_event_id").isNotNull()
     rows = rows.withColumns({
-        "extraction_failed": F.col("status") == "ai_processing_failed", "cat_confirmed": F.lit(False), "unreadable": F.lit(0), "corrections": F.coalesce("corrections", F.lit(0)),
+        "extraction_failed": F.col("status") == "ai_processing_failed", "cat_confirmed": F.coalesce("cat_confirmed", F.lit(False)), "unreadable": F.coalesce("unreadable", F.lit(0)), "corrections": F.coalesce("corrections", F.lit(0)),
         "s": assessment.severity(F.col("limit_minor"), cat), "v": assessment.coverage(),
     })
     rows = rows.withColumn("f", assessment.fraud(F.col("duplicates"), F.col("corrections"), F.col("unreadable")))
@@ -113,17 +123,19 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NESTED = ", ".join(f"{short} AS ({match_plans.ORACLES[name]})" for short, name in (("mr", "policy_match_ranked"), ("ds", "duplicate_scores"), ("ce", "cat_attribution")))
 _COMPLETE = f""", cf AS (SELECT case_id, list(path ORDER BY n) FILTER (WHERE NOT present) AS missing, list(path ORDER BY n) FILTER (WHERE NOT present AND critical) AS gone,
   round(sum(CASE WHEN present THEN (CASE WHEN critical THEN 3.0 ELSE 1.0 END) ELSE 0 END)::DOUBLE / sum(CASE WHEN critical THEN 3.0 ELSE 1.0 END)::DOUBLE, 4) AS complete FROM ({assess_plans._FIELDS}) GROUP BY case_id)"""
-_BOOK = oracle_with("cases", "policies", "claims", "cat_events", "fields") + ", " + _NESTED + _COMPLETE + """,
+_BOOK = oracle_with("cases", "policies", "claims", "cat_events", "fields", "exceptions") + ", " + _NESTED + _COMPLETE + """,
 m1 AS (SELECT case_id, max(overall) AS overall, count(*) AS candidates, arg_min(policy_id, rank) AS best_policy FROM mr GROUP BY case_id),
 d1 AS (SELECT case_id, count(*) AS duplicates, max(score) AS duplicate_score FROM ds GROUP BY case_id),
 f1 AS (SELECT case_id, round(avg(confidence), 6) AS sure, count(*) FILTER (WHERE human_modified) AS corrections FROM fields GROUP BY case_id),
+x1 AS (SELECT case_id, count(*) FILTER (WHERE code = 'document_unreadable') AS unreadable, bool_or(code = 'cat_match' AND status = 'resolved') AS cat_confirmed FROM exceptions GROUP BY case_id),
 b1 AS (SELECT c.*, m1.overall, coalesce(m1.candidates, 0) AS candidates, coalesce(d1.duplicates, 0) AS duplicates, coalesce(d1.duplicate_score, 0)::DOUBLE AS duplicate_score,
     ce.event_id AS cat_event_id, f1.sure, coalesce(f1.corrections, 0) AS corrections, cf.gone, cf.complete,
-    CASE WHEN m1.overall = 'exact' OR c.policy_confirmed THEN m1.best_policy END AS bound
-  FROM cases c LEFT JOIN m1 USING (case_id) LEFT JOIN d1 USING (case_id) LEFT JOIN ce USING (case_id) LEFT JOIN f1 USING (case_id) JOIN cf USING (case_id)),
+    coalesce(x1.unreadable, 0) AS unreadable, coalesce(x1.cat_confirmed, false) AS cat_confirmed,
+    CASE WHEN c.policy_confirmed THEN CASE WHEN c.case_id % 7 <> 0 THEN c.custkey END WHEN m1.overall = 'exact' THEN m1.best_policy END AS bound
+  FROM cases c LEFT JOIN m1 USING (case_id) LEFT JOIN d1 USING (case_id) LEFT JOIN ce USING (case_id) LEFT JOIN f1 USING (case_id) LEFT JOIN x1 USING (case_id) JOIN cf USING (case_id)),
 wp AS (SELECT b1.*, p.policy_id, p.effective_date, p.expiry_date, p.limit_minor, p.perils, p.exclusions, p.primary_location, p.region, p.country AS policy_country, p.status AS policy_status
   FROM b1 LEFT JOIN policies p ON b1.bound = p.policy_id)""" + assess_plans._severity("cat_event_id IS NOT NULL") + assess_plans._fraud_sql("sw").replace(
-    "case_id % 5 = 0", "duplicates > 0").replace("case_id % 8 >= 5", "corrections >= 5").replace("case_id % 9 = 0", "false") + assess_plans._coverage_sql("fl") + f""",
+    "case_id % 5 = 0", "duplicates > 0").replace("case_id % 8 >= 5", "corrections >= 5").replace("case_id % 9 = 0", "unreadable > 0") + assess_plans._coverage_sql("fl") + f""",
 ax AS (SELECT *, status = 'ai_processing_failed' AS failed, (['low', 'medium', 'high', 'critical'])[top + 1] AS severity_found FROM cv),
 ay AS (SELECT *, [x FOR x IN [
   CASE WHEN failed THEN 'ai_processing_failed' END,
@@ -133,8 +145,8 @@ ay AS (SELECT *, [x FOR x IN [
   CASE WHEN policy_id IS NOT NULL AND date_of_loss::DATE NOT BETWEEN effective_date AND expiry_date THEN 'outside_policy_period' END,
   CASE WHEN limit_minor <> 0 AND estimated_loss_minor > limit_minor THEN 'exceeds_policy_limit' END, CASE WHEN len(gone) > 0 THEN 'missing_critical_information' END,
   CASE WHEN duplicates > 0 THEN 'possible_duplicate' END, CASE WHEN top >= 2 THEN 'high_severity' END, CASE WHEN level <> 'low' THEN 'fraud_indicator' END,
-  CASE WHEN indicator IN ('review_required', 'possible_exclusion') THEN 'coverage_issue' END, CASE WHEN cat_event_id IS NOT NULL THEN 'cat_match' END,
-  CASE WHEN sure < 0.6 AND NOT failed THEN 'low_extraction_confidence' END] IF x IS NOT NULL] AS codes FROM ax)""" + assess_plans._TRIAGE.replace(
+  CASE WHEN indicator IN ('review_required', 'possible_exclusion') THEN 'coverage_issue' END, CASE WHEN cat_event_id IS NOT NULL AND NOT cat_confirmed THEN 'cat_match' END,
+  CASE WHEN sure < 0.6 AND NOT failed THEN 'low_extraction_confidence' END, CASE WHEN unreadable > 0 THEN 'document_unreadable' END] IF x IS NOT NULL] AS codes FROM ax)""" + assess_plans._TRIAGE.replace(
     "case_id % 43 = 0 AS cat FROM fl", "cat_event_id IS NOT NULL AS cat FROM ay").replace("severity = 'critical'", "severity_found = 'critical'").replace("severity = 'high'", "severity_found = 'high'").replace("severity = 'medium'", "severity_found = 'medium'")
 
 ORACLES = {
