@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,8 +50,39 @@ def _common_letters(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: Names of up to so many letters fit the bits of a machine word.
+WORD_LETTERS = 63
+
+
+def _codes(names: np.ndarray) -> np.ndarray:
+    """A row of letter codes for each name, filled up with zeros."""
+    text = names.astype(str)
+    return text.view(np.uint32).reshape(len(text), -1) if text.dtype.itemsize else np.zeros((len(text), 0), np.uint32)
+
+
+def _common_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_common_letters`` of many pairs of short names at once: one word a pair, one step for each letter of the longest b."""
+    left, right = _codes(a), _codes(b)
+    bits = np.uint64(1) << np.arange(left.shape[1], dtype=np.uint64)
+    full = ((left != 0) * bits).sum(axis=1, dtype=np.uint64)
+    row = full.copy()
+    for j in range(right.shape[1]):
+        hit = row & ((left == right[:, j : j + 1]) * bits).sum(axis=1, dtype=np.uint64)
+        row = ((row + hit) | (row - hit)) & full
+    return (np.bitwise_count(full) - np.bitwise_count(row)).astype(np.int64)
+
+
 def _common_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else 0 if x == y else _common_letters(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    out = pd.array([None] * len(a), dtype="Int32")
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    x, y = a.to_numpy(object)[known], b.to_numpy(object)[known]
+    size = np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+    short = size <= WORD_LETTERS
+    if short.any():
+        out[known[short]] = _common_many(x[short], y[short])
+    for k in np.flatnonzero(~short):
+        out[known[k]] = _common_letters(x[k], y[k])
+    return pd.Series(out)
 
 
 def lcs_batches(a: Column, b: Column) -> Column:

@@ -64,3 +64,29 @@ def test_similarities(spark):
         similarity.weighted_mean([(F.lit(1.0), 2), (F.lit(None).cast("double"), 5)]).alias("mean"), similarity.noisy_or(F.array(F.lit(0.3), F.lit(0.25))).alias("either"),
     ).first()
     assert row.same == 1.0 and row.none is None and 30 < row.km < 45 and row.mean == 1.0 and row.either == pytest.approx(0.475)
+
+
+def test_common_letters_of_many_pairs():
+    """Bit rows of many pairs at once, of single pairs, and plain dynamic programming agree, over lengths around a machine word's and letters beyond 16 bits."""
+    import pandas as pd
+
+    from lossbook.functions import similarity
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = following(row, x, b)
+        return row[-1]
+
+    def following(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+        return out
+
+    rng = random.Random(8)
+    name = lambda n: "".join(rng.choice("ab cé\U0001f600") for _ in range(n))
+    pairs = [(name(rng.randrange(0, 70)), name(rng.randrange(0, 70))) for _ in range(150)] + [("", ""), ("a", ""), ("", "a"), ("a" * 63, "a" * 63), ("a" * 64, "b" + "a" * 64)]
+    a, b = pd.Series([p for p, _ in pairs] + [None, "x"]), pd.Series([q for _, q in pairs] + ["x", None])
+    got = similarity._common_batch(a, b)
+    assert got.isna().tolist()[-2:] == [True, True] and [int(x) for x in got[:-2]] == [plain(p, q) for p, q in pairs] == [similarity._common_letters(p, q) for p, q in pairs]
