@@ -128,8 +128,9 @@ FROM cases c""",
     "audit_trail": "SELECT event_id, ts, user_id, event_type FROM events WHERE user_id IN (3, 14, 15) ORDER BY ts DESC, event_id DESC LIMIT 200",
     "policy_number_lookup": oracle_with("cases", "policies") + f"""
 SELECT c.case_id, p.policy_id, p.policy_number FROM cases c JOIN policies p ON {form("c.policy_number")} = {form("p.policy_number")}""",
-    "reference_sequence": oracle_with("cases") + """
-SELECT case_id, 'FNOL-' || year(received_at)::VARCHAR || '-' || lpad((row_number() OVER (PARTITION BY year(received_at) ORDER BY received_at, case_id))::VARCHAR, 6, '0') AS reference FROM cases""",
+    "reference_sequence": oracle_with("cases") + """, numbered AS (
+SELECT case_id, year(received_at)::VARCHAR AS y, (row_number() OVER (PARTITION BY year(received_at) ORDER BY received_at, case_id))::VARCHAR AS n FROM cases)
+SELECT case_id, 'FNOL-' || y || '-' || lpad(n, greatest(6, length(n))::INT, '0') AS reference FROM numbered""",
     "money_labels": oracle_with("claims") + """
 SELECT claim_id, CASE currency WHEN 'GBP' THEN '£' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'SGD' THEN 'S$' ELSE '' END ||
   CASE WHEN abs(reserve_minor) >= 100000000 THEN regexp_replace(regexp_replace(format('{:,.2f}', reserve_minor / 100000000.0::DOUBLE), '0+$', ''), '\\.$', '') || 'm'
