@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
+from lossbook.operators import matching
 from lossbook.plans import queue_plans
+from lossbook.thresholds import Thresholds
 
 
 def test_numbers_beyond_six_digits(spark, tmp_path):
@@ -19,3 +23,31 @@ def test_numbers_beyond_six_digits(spark, tmp_path):
     want = con.execute(f"SELECT case_id, reference FROM ({queue_plans.ORACLES['reference_sequence']}) WHERE {long} ORDER BY 2").fetchall()
     got = queue_plans.reference_sequence(spark, str(tmp_path)).filter(long).orderBy("reference").collect()
     assert [tuple(r) for r in got] == want and [r.reference for r in got] == [f"FNOL-2001-{n}" for n in range(1_000_000, 1_000_004)]
+
+
+def test_candidates_of_a_broker_with_a_large_book(spark):
+    """A broker's policies are one list for all its notices: candidates as by brute force, and no pair is shuffled or sorted."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    names = ["", None, "Acme", "Acme Marine", "Zen\u00e9 Group", "Ox"]
+    cases = [(i, pick("P-1", "p 12", "P-123456789012345", None), pick(*names), pick(*names), pick("Big Broker", "big", "Small", None, " "), pick("A@x.com ", "b@x.com", None), None, None, None) for i in range(60)]
+    policies = [(i - 5, pick(f"P-12{i % 4}", "P-1234567890123456", None), pick(*names), pick(*names), pick("Big Broker Ltd", "Small Broker", None), pick("BR-big broker/1", None), pick("a@x.com", "b@x.com", None)) for i in range(80)]
+    c = spark.createDataFrame(cases, "case_id long, policy_number string, insured_name string, insured_organisation string, reporter_organisation string, reporter_email string, loss_country string, line_of_business string, date_of_loss timestamp_ntz")
+    p = spark.createDataFrame(policies, "policy_id long, policy_number string, insured_name string, insured_organisation string, broker_name string, broker_reference string, insured_email string")
+    p = p.selectExpr("*", "'motor' line_of_business", "'France' country", "date'2001-01-01' effective_date", "date'2002-01-01' expiry_date")
+    found = matching.policy_candidates(c, p, Thresholds(policy_candidates=7))
+    forms = c.select("case_id", matching.normalise_reference(c.policy_number), *[matching._lead(c[n]) for n in ("insured_name", "insured_organisation", "reporter_organisation")]).collect()
+    held = {r[0]: r[1] for r in p.select("policy_id", matching.sql_normal_form(p.policy_number)).collect()}
+    inside = lambda key, value: bool(key) and value is not None and key in value.lower()
+    want = set()
+    for case, (case_id, number, insured, organisation, broker) in zip(cases, forms, strict=True):
+        sender, reporter = (case[5] or "").strip(" ").lower(), (case[4] or "").strip(" ").lower()
+        told = number or insured or organisation or broker or sender or reporter
+        hits = [
+            x for x in policies
+            if not told or inside(number, held[x[0]]) or inside(insured, x[2]) or inside(organisation, x[3]) or inside(broker, x[4]) or inside(reporter, x[5]) or (sender and sender == x[6])
+        ]
+        want |= {(case_id, x[0]) for x in sorted(hits, key=lambda x: (x[1] is not None, x[1] or "", x[0]))[:7]}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
+    made = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(first")
+    assert len(made) == 2 and "Window" not in made[0] and "Aggregate" not in made[0] and "Join" not in made[0]
