@@ -134,7 +134,7 @@ def handler_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = saved(_demands(spark, sf_dir), "assignment-claims")
-    return triage.assignments(claims, triage.handler_scores(claims, load(spark, sf_dir, "handlers")))
+    return triage.assignments(claims, triage.leading_scores(claims, load(spark, sf_dir, "handlers")))
 
 
 def assignment_with_load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import duckdb
 
-from lossbook.operators import matching
+from lossbook.operators import matching, triage
 from lossbook.plans import queue_plans
 from lossbook.thresholds import Thresholds
 
@@ -51,3 +51,22 @@ def test_candidates_of_a_broker_with_a_large_book(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
     made = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(first")
     assert len(made) == 2 and "Window" not in made[0] and "Aggregate" not in made[0] and "Join" not in made[0]
+
+
+def test_handlers_alike_are_scored_once(spark, monkeypatch):
+    """Scores of each handler as if scored one by one, from as many scored rows for 6 handlers of a kind as for 60; first handlers as among all."""
+    kinds = [("SIU", "fraud", "motor", "France", "high", 9, 2), ("SIU", "fraud", "motor", "France", "high", 9, 3), ("CAT", None, None, None, "low", 0, 1), ("CAT", "cat", "marine", "Spain", "critical", 4, 0)]
+    schema = "handler_id long, full_name string, team string, skills string, lines string, countries string, max_severity string, capacity int, open_claims int, active boolean"
+    claims = spark.createDataFrame([(1, "SIU", "fraud", "low", "motor", "FRANCE"), (2, "CAT", None, "critical", None, None), (3, "CAT", "cat", "low", "marine", "Spain"), (4, "X", "none", None, "motor", None)],
+                                   "claim_id long, team string, required_skill string, severity string, line_of_business string, country string")
+    monkeypatch.setattr(triage, "KIND_PART", 4)
+    rows = {}
+    for n in (6, 60):
+        staff = spark.createDataFrame([(i, f"N{i * 7 % 5}", *kinds[i % 4], i % 11 != 3) for i in range(4 * n)], schema)
+        rows[n] = triage._kinds(triage._staff(staff), 4).count()
+        got = triage.handler_scores(claims, staff)
+        score, blocked = triage._fit(triage.F.col("open_claims"))
+        want = triage._asked(claims).crossJoin(triage._staff(staff)).select(*triage.DEMAND, "handler_id", "full_name", score.alias("score"), blocked.alias("blocked"))
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+        assert sorted(map(tuple, triage.assignments(claims, triage.leading_scores(claims, staff)).collect()), key=str) == sorted(map(tuple, triage.assignments(claims, want).collect()), key=str)
+    assert rows[6] == rows[60] == 4
