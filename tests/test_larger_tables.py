@@ -6,7 +6,7 @@ import random
 
 import duckdb
 
-from lossbook.operators import matching, triage
+from lossbook.operators import assessment, matching, triage
 from lossbook.plans import queue_plans
 from lossbook.thresholds import Thresholds
 
@@ -70,3 +70,13 @@ def test_handlers_alike_are_scored_once(spark, monkeypatch):
         assert got.count() == want.count() and got.exceptAll(want).isEmpty()
         assert sorted(map(tuple, triage.assignments(claims, triage.leading_scores(claims, staff)).collect()), key=str) == sorted(map(tuple, triage.assignments(claims, want).collect()), key=str)
     assert rows[6] == rows[60] == 4
+
+
+def test_texts_of_a_verdict_are_read_once(spark):
+    """The texts behind a coverage verdict stand once in its expression: each was read again for every field that uses it."""
+    names = ("date_of_loss", "effective_date", "expiry_date", "cause_of_loss", "loss_type", "loss_description", "exclusions", "perils", "estimated_loss_minor", "limit_minor", "loss_location",
+             "primary_location", "region", "policy_country", "policy_status", "policy_id", "policy_confirmed")
+    kinds = {"date_of_loss": "timestamp_ntz", "effective_date": "date", "expiry_date": "date", "estimated_loss_minor": "long", "limit_minor": "long", "policy_id": "long", "policy_confirmed": "boolean"}
+    rows = spark.createDataFrame([], ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names)).select(assessment.coverage().alias("v"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.split("\n")[0].count("cause_of_loss") == 1 and plan.split("\n")[0].count("primary_location") == 1
