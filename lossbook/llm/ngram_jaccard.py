@@ -20,7 +20,8 @@ tried against the hub it shares most prefix tokens with (the member of a token
 group whose own tokens are shared most often, as an original's are), linked
 ones are merged, and only token groups that still hold several components go on:
 twice to hubs of other components, then to pairs across components: in each token group the
-members outside its largest component meet the others at the places that their sizes allow. A group of near copies so
+members outside its largest component meet the others at the places that their sizes allow, where their signatures (256 bits, each the
+parity of the tokens that fall on it) differ in no more bits than linked sets differ in tokens. A group of near copies so
 costs about one comparison a member, and no link between components is lost.
 Centres with many members are salted; token groups stream through sorted buckets.
 
@@ -50,6 +51,9 @@ BROADCAST_PAIRS = 200_000
 #: A bitmap of ids has 2**BITMAP_BITS bits (2 MB), whatever the input; 2**15 of them make a row.
 BITMAP_BITS = 24
 MEMBERS_PER_TASK = 32
+#: Longs of a set's signature.
+SIGNATURE = 4
+SIGNED = tuple(f"bits{k}" for k in range(SIGNATURE))
 #: Prefix tokens that a candidate pair must share, or all that a small set must share.
 SHARED = 8
 
@@ -81,6 +85,18 @@ def shared_tokens(n):
     return np.minimum(SHARED, -(-THRESHOLD * n // 100))
 
 
+def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of SIGNATURE longs for each set: bit k is the parity of the number of its tokens that fall on k.
+
+    A token that only one of two sets has flips one bit, so signatures differ in no more bits than the sets do in tokens.
+    """
+    bits = 64 * SIGNATURE
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n) * bits, np.diff(offsets)) + (mix(grams ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, SIGNATURE)
+
+
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
     """Documents by shingle, counted in 2**SKETCH_BITS slots: a bound that doesn't grow with the input."""
     codec, width = "zstd", SLICE * 4
@@ -125,11 +141,11 @@ def _ranked(doc: np.ndarray, rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, sketch) -> DataFrame:
-    """id, n, d1, d2 (a 128-bit digest of the set), its prefix under order 1, and of each order's prefix tokens 32 bits (order 1) or 16.
+    """id, n, d1, d2 (a 128-bit digest of the set), its prefix under order 1, of each order's prefix tokens 32 bits (order 1) or 16, and its signature.
 
     p1 is empty where two of its tokens have the same 32 bits, so that counts never fall short.
     """
-    names = ["id", "n", "d1", "d2", "prefix", "p1", "p2", "p3"]
+    names = ["id", "n", "d1", "d2", "prefix", "p1", "p2", "p3", *SIGNED]
 
     def run(batches):
         load = np.median(sketch.value)
@@ -164,10 +180,11 @@ def _described(docs: DataFrame, sketch) -> DataFrame:
                     pa.array(spans_hash(grams, offsets[:-1], offsets[1:]).view(np.int64)),
                     pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)),
                     pa.array([ranked[o : o + s].tobytes() for o, s in zip(offsets[:-1], depth, strict=True)], pa.binary()), *lists,
+                    *[pa.array(column) for column in signatures(grams, offsets).T],
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(docs.select("id", "text"), run, "id long, n long, d1 long, d2 long, prefix binary, p1 array<int>, p2 array<smallint>, p3 array<smallint>")
+    return map_batches(docs.select("id", "text"), run, f"id long, n long, d1 long, d2 long, prefix binary, p1 array<int>, p2 array<smallint>, p3 array<smallint>, {', '.join(f'{c} long' for c in SIGNED)}")
 
 
 def _token_groups(classes: DataFrame) -> DataFrame:
@@ -336,19 +353,28 @@ def _towards_first_hubs(groups: DataFrame) -> DataFrame:
     return pairs.groupBy("class").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components with a token at places where a linked pair may share its first one.
+def _differ_little(a: str, b: str):
+    """False where the signatures differ in more bits than linked sets of these sizes differ in tokens; unknown sizes or signatures rule nothing out."""
+    apart = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in SIGNED), F.lit(0))
+    return F.coalesce(apart <= F.col(f"n_{a}") + F.col(f"n_{b}") - 2 * _overlap(f"n_{a}", f"n_{b}"), F.lit(True))
+
+
+def _across(members: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs of different components with a token at places where a linked pair may share its first one, and with signatures that a linked pair may have.
 
     One side of a pair is outside the token group's largest component, so what has merged already never meets itself.
     """
     sizes = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("largest"))
-    marked = saved(members.join(largest, "token").select("token", "class", "component", "n", "place", (F.col("component") != F.col("largest")).alias("small")), "jaccard-across")
-    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n", "place", "small")]) for k in "ab")
+    one = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in SIGNED]
+    signed = _likely(described.select("id", *SIGNED), members.select("class")).groupBy(F.col("id").alias("class")).agg(*one)
+    marked = members.join(largest, "token").join(signed, "class").select("token", "class", "component", "n", "place", (F.col("component") != F.col("largest")).alias("small"), *SIGNED)
+    marked = saved(marked, "jaccard-across")
+    a, b = (marked.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n", "place", "small", *SIGNED)]) for k in "ab")
     o = _overlap("n_a", "n_b")
     early = F.coalesce((F.col("place_a") <= F.col("n_a") - o) & (F.col("place_b") <= F.col("n_b") - o), F.lit(True))
     once = F.col("small_a") & (~F.col("small_b") | (F.col("class_a") > F.col("class_b")))
-    pairs = a.filter("small_a").join(b, "token").filter(once & (F.col("component_a") != F.col("component_b")) & _sized("n_a", "n_b") & early)
+    pairs = a.filter("small_a").join(b, "token").filter(once & (F.col("component_a") != F.col("component_b")) & _sized("n_a", "n_b") & early & _differ_little("a", "b"))
     return pairs.select(F.greatest("class_a", "class_b").alias("class"), F.least("class_a", "class_b").alias("centre")).distinct()
 
 
@@ -371,7 +397,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             pairs = _towards_first_hubs(groups)
         else:
             members = _open_groups(members.select(*groups.columns), labels)
-            pairs = _across(members) if step == "all" else _towards_hubs(members)
+            pairs = _across(members, described) if step == "all" else _towards_hubs(members)
         if done is not None:
             pairs = pairs.join(done, ["class", "centre"], "left_anti")
         pairs = saved(pairs, "jaccard-pairs")

@@ -9,7 +9,7 @@ import re
 from collections import Counter
 
 import pytest
-from helpers import WORD, jaccard_groups, sentence, words_of
+from helpers import WORD, jaccard_groups, sentence, shingles, words_of
 from pyspark.sql import functions as F
 
 from lossbook.llm import (
@@ -499,3 +499,20 @@ def test_toxicity_where_posteriors_lie_on_one_side(spark):
     for texts in (rows, alike, marked, [(i, None) for i in range(120)]):
         got = toxicity.score_toxicity(spark.createDataFrame(texts, kinds[0]), spark.createDataFrame(labels, kinds[1])).collect()
         assert len(got) == 120 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_jaccard_pairs_across_components_have_near_signatures(spark):
+    """Documents with one common passage and words of their own meet at its tokens; only pairs near the threshold leave the join, and no linked one is lost."""
+    rng = random.Random(11)
+    passage = sentence(rng, 70)
+    rows = [(k, f"{passage} {sentence(rng, 20)}") for k in range(60)]
+    rows += [(100 + k, text.rsplit(" ", 1)[0] + f" other{k}") for k, text in rows[:20]] + [(200, rows[0][1] + " a b"), (200, rows[1][1] + " c d")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    described = ngram_jaccard._described(docs, spark.sparkContext.broadcast(ngram_jaccard.frequency_sketch(docs)))
+    sizes = described.groupBy(F.col("id").alias("class")).agg(F.when(F.min("n") == F.max("n"), F.max("n")).cast("int").alias("n"))
+    members = sizes.select(F.lit(1).alias("token"), "class", F.col("class").alias("component"), "n", F.lit(0).alias("place"))
+    got = {(r["class"], r.centre) for r in ngram_jaccard._across(members, described).collect()}
+    sets = {(d, i): shingles(t) for i, (d, t) in enumerate(rows)}
+    linked = {(max(a, b), min(a, b)) for (a, i), x in sets.items() for (b, j), y in sets.items() if a != b and 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(linked) >= 20 and linked <= got
+    assert len({p for p in got if 200 not in p}) < 60
