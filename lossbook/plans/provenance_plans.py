@@ -20,7 +20,8 @@ def _case_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Values of the cases; their notices (source 0), cover letters (1) and the documents that came with them (2 to 5)."""
     cases = load(spark, sf_dir, "cases")
     values = cases.select("case_id", F.inline(F.array(*[F.struct(F.lit(p).alias("path"), F.col(c).alias("value")) for p, c in VALUES.items()])))
-    texts = cases.selectExpr("case_id", "0 AS source", f"{BODY} AS text").unionByName(cases.selectExpr("case_id", "1 AS source", "concat_ws(' ', source_body, affected_assets, cause_of_loss) AS text"))
+    own = F.array(*[F.struct(F.lit(k).alias("source"), F.expr(t).alias("text")) for k, t in enumerate((BODY, "concat_ws(' ', source_body, affected_assets, cause_of_loss)"))])
+    texts = cases.select("case_id", F.inline(own))
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id div 4 AS case_id", "CAST(2 + doc_id % 4 AS INT) AS source", "text")
     return values, texts.unionByName(documents)
 

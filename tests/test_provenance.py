@@ -37,3 +37,23 @@ def test_longest_stretch_by_brute_force(spark):
     assert {(r.case_id, r.path): (r.source, r.place, r.length, r.whole, r.excerpt) for r in got} == want and len(got) == len(want)
     assert {(r.case_id, r.src, r.dst) for r in provenance.evidence_edges(v, t).collect()} == edges
     assert provenance.field_provenance(v.limit(0), t).count() == 0 and provenance.evidence_edges(v, t.limit(0)).count() == 0
+
+
+def test_texts_leave_no_words_and_large_cases_are_dealt(spark, monkeypatch):
+    """Only texts, values and best stretches are shuffled; results don't depend on how a case is dealt or on how many words meet at once."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(rng.choice(["a", "a", "b", "c1"]) for _ in range(n))
+    v = spark.createDataFrame([(c, p, line(rng.randrange(1, 6))) for c in range(3) for p in ("x", "y")], "case_id long, path string, value string")
+    t = spark.createDataFrame([(1 if s % 2 else s % 3, s, line(rng.randrange(0, 30))) for s in range(60)] + [(2, 99, "é, c1! " * 400)], "case_id long, source int, text string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(provenance.field_provenance(v, t)), key(provenance.evidence_edges(v, t))
+    plan = provenance.field_provenance(v, t)._jdf.queryExecution().executedPlan().toString() + provenance.evidence_edges(v, t)._jdf.queryExecution().executedPlan().toString()
+    assert "word" not in plan and "diagonal" not in plan and "Window" not in plan
+    monkeypatch.setattr(provenance, "TEXTS_PER_TASK", 4)
+    assert (key(provenance.field_provenance(v, t)), key(provenance.evidence_edges(v, t))) == want
+    met = provenance._met(v, t).toArrow().to_batches()
+    found = lambda: sorted(tuple(r.values()) for b in provenance._longest(met) for r in b.to_pylist())
+    whole = found()
+    monkeypatch.setattr(provenance, "MEETINGS", 20)
+    monkeypatch.setattr(provenance, "ROWS", 7)
+    assert found() == whole and len(whole) > 60
