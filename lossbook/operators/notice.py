@@ -38,7 +38,7 @@ def _once(value: Column, of) -> Column:
 
 def _read(value: Column, confidence: float, evidence: Column) -> Column:
     """A reading, its value and evidence cut to length; a value that says nothing is null."""
-    said = F.when(~F.lower(_strip(value)).isin(*NOTHING_VALUES), F.left(_strip(value), F.lit(MAX_VALUE_LENGTH)))
+    said = _once(_strip(value), lambda v: F.when(~F.lower(v).isin(*NOTHING_VALUES), F.left(v, F.lit(MAX_VALUE_LENGTH))))
     where = F.nullif(F.left(_strip(evidence), F.lit(MAX_EVIDENCE_LENGTH)), F.lit(""))
     return F.struct(said.alias("value"), F.lit(confidence).alias("confidence"), where.alias("evidence"))
 
@@ -49,50 +49,65 @@ def _nothing() -> Column:
 
 
 def _first(*readings: Column) -> Column:
-    return F.coalesce(F.get(F.filter(F.array(*readings), lambda r: r["value"].isNotNull()), 0), _nothing())
+    """The first reading with a value; those after it are not made."""
+    return F.coalesce(*[_once(r, lambda x: F.when(x["value"].isNotNull(), x)) for r in readings], _nothing())
 
 
 def _around(text: Column, needle: Column) -> Column:
     """What stands around the needle's first place in the text; the needle itself where it isn't there."""
-    at, half = F.instr(text, needle), EVIDENCE_WIDTH // 2
-    start = F.greatest(at - half, F.lit(1))
-    return F.when(at > 0, _strip(F.substring(text, start, at + F.length(needle) + half - start))).otherwise(needle)
+    half = EVIDENCE_WIDTH // 2
 
+    def of(at: Column) -> Column:
+        start = F.greatest(at - half, F.lit(1))
+        return F.when(at > 0, _strip(F.substring(text, start, at + F.length(needle) + half - start))).otherwise(needle)
 
-def labelled_lines(text: Column) -> Column:
-    """array of (at, label, value, evidence) of the lines with a label, in order; values that say nothing are null."""
-    names = "|".join(re.escape(x) for x in sorted({x for labels in NOTICE_LABELS.values() for x in labels}, key=lambda x: (-len(x), x)))
-    pattern = rf"(?is)^{LABEL_LEAD}({names}){LABEL_GAP}(.+?)[ \t]*\z"
+    return _once(F.instr(text, needle), of)
 
-    def read(line: Column, at: Column) -> Column:
-        value = _strip(F.regexp_extract(line, pattern, 2))
-        label = F.lower(F.regexp_extract(line, pattern, 1))
-        return F.struct(at.alias("at"), label.alias("label"), F.when(~F.lower(value).isin(*SILENT_VALUES), value).alias("value"), _strip(line).alias("evidence"))
 
-    return F.filter(F.transform(F.split(text, "\n", -1), read), lambda x: x["label"] != "")
+def labelled_lines(lines: Column, fields: tuple[str, ...] = tuple(NOTICE_LABELS)) -> Column:
+    """array of (at, field, value, r) of the lines with a label of the fields, in order: the field's place in ``NOTICE_LABELS``, the value, null where it says nothing, and its reading.
 
+    A line has at most one label, so each labelled line is read for the one field it is about, and lines without a colon or dash aren't searched.
+    """
+    field_of = {x: no for no, (field, labels) in enumerate(NOTICE_LABELS.items()) if field in fields for x in labels}
+    names = "|".join(re.escape(x) for x in sorted(field_of, key=lambda x: (-len(x), x)))
+    start = rf"(?is)^{LABEL_LEAD}({names}){LABEL_GAP}"
+    numbers = F.create_map(*[F.lit(x) for pair in field_of.items() for x in pair])
 
-def _labelled(found: Column, field: str) -> Column:
-    line = F.get(F.filter(found, lambda x: x["label"].isin(*NOTICE_LABELS[field])), 0)
-    return _once(line, lambda x: F.when(x["value"].isNotNull(), _read(x["value"], LABELLED_CONFIDENCE, x["evidence"])).otherwise(_nothing()))
+    def mark(line: Column, at: Column) -> Column:
+        gap = F.contains(line, F.lit(":")) | F.contains(line, F.lit("-")) | F.contains(line, F.lit("–"))
+        return F.struct(at.alias("at"), line.alias("line"), F.when(gap, F.lower(F.regexp_extract(line, f"{start}.", 1))).otherwise("").alias("label"))
 
+    def read(x: Column) -> Column:
+        value = _strip(F.regexp_extract(x["line"], rf"{start}(.+?)[ \t]*\z", 2))
+        return F.struct(x["at"].alias("at"), F.element_at(numbers, x["label"]).alias("field"), _once(value, lambda v: F.when(~F.lower(v).isin(*SILENT_VALUES), v)).alias("value"), x["line"].alias("line"))
+
+    def judged(x: Column) -> Column:
+        reading = F.when(x["value"].isNotNull(), _read(x["value"], LABELLED_CONFIDENCE, x["line"])).otherwise(_nothing())
+        return F.struct(x["at"].alias("at"), x["field"].alias("field"), x["value"].alias("value"), reading.alias("r"))
+
+    return F.transform(F.transform(F.filter(F.transform(lines, mark), lambda x: x["label"] != ""), read), judged)
 
-def _continued(found: Column, lines: Column, field: str) -> Column:
-    """A labelled reading whose value goes on over the lines up to a blank one or the next label."""
-    line = F.get(F.filter(found, lambda x: x["label"].isin(*NOTICE_LABELS[field])), 0)
 
+def _line_of(found: Column, about: Column, field: str) -> Column:
+    """The first line about a field, null if there is none. about: the fields of found."""
+    return F.get(found, (F.array_position(about, F.lit(list(NOTICE_LABELS).index(field))) - 1).cast("int"))
+
+
+def _continued(found: Column, about: Column, lines: Column, field: str) -> Column:
+    """A labelled reading whose value goes on over the lines up to a blank one or the next label."""
     def of(x: Column) -> Column:
         after = F.slice(lines, x["at"] + 2, F.size(lines))
         ends = F.transform(after, lambda y, i: F.when((_strip(y) == "") | y.rlike(NEXT_LABEL_PATTERN), i))
         stop = F.coalesce(F.array_min(ends), F.size(after))
         value = F.array_join(F.concat(F.array(x["value"]), F.transform(F.slice(after, F.lit(1), stop), _strip)), " ")
-        return F.when(x["value"].isNotNull(), _read(value, LABELLED_CONFIDENCE, x["evidence"])).otherwise(_nothing())
+        return F.when(x["value"].isNotNull(), _read(value, LABELLED_CONFIDENCE, x["r"]["evidence"]))
 
-    return _once(line, of)
+    return _once(_line_of(found, about, field), of)
 
 
 def _by_pattern(text: Column, field: str) -> Column:
-    return _once(F.regexp_extract(text, f"(?i){NOTICE_PATTERNS[field]}", 0), lambda x: F.when(x != "", _read(x, INFERRED_CONFIDENCE, _around(text, x))).otherwise(_nothing()))
+    return _once(F.regexp_extract(text, f"(?i){NOTICE_PATTERNS[field]}", 0), lambda x: F.when(x != "", _read(x, INFERRED_CONFIDENCE, _around(text, x))))
 
 
 def _count(text: Column, low: Column, field: str) -> Column:
@@ -100,14 +115,16 @@ def _count(text: Column, low: Column, field: str) -> Column:
     def at(stem: str) -> Column:
         def of(place: Column) -> Column:
             start = F.greatest(place - BEFORE, F.lit(1))
-            before, after = F.substring(low, start, place - start), F.substring(low, place + len(stem), F.lit(AFTER))
-            number = F.coalesce(*[F.nullif(F.regexp_extract(part, pattern, 1), F.lit("")) for part, pattern in ((before, COUNT_BEFORE_PATTERN), (after, COUNT_AFTER_PATTERN))], F.lit("1"))
-            value = F.when(before.rlike(NEGATION_PATTERN) | after.rlike(NEGATION_PATTERN), "0").otherwise(number)
-            return F.when(place > 0, _read(value, INFERRED_CONFIDENCE, _around(text, F.lit(stem))))
+            near = F.struct(F.substring(low, start, place - start).alias("before"), F.substring(low, place + len(stem), F.lit(AFTER)).alias("after"))
+            return F.when(place > 0, _read(_once(near, number), INFERRED_CONFIDENCE, _around(text, F.lit(stem))))
+
+        def number(near: Column) -> Column:
+            parts = [F.nullif(F.regexp_extract(near[part], pattern, 1), F.lit("")) for part, pattern in (("before", COUNT_BEFORE_PATTERN), ("after", COUNT_AFTER_PATTERN))]
+            return F.when(near["before"].rlike(NEGATION_PATTERN) | near["after"].rlike(NEGATION_PATTERN), "0").otherwise(F.coalesce(*parts, F.lit("1")))
 
         return _once(F.instr(low, stem), of)
 
-    return F.coalesce(*[at(stem) for stem in NOTICE_COUNTS[field]], _nothing())
+    return F.coalesce(*[at(stem) for stem in NOTICE_COUNTS[field]])
 
 
 def _flag(text: Column, low: Column, phrases: tuple[str, ...]) -> Column:
@@ -119,28 +136,34 @@ def _paragraph(text: Column) -> Column:
     """The first longest paragraph over 80 letters that doesn't begin with a label."""
     parts = F.filter(F.split(text, r"\n\s*\n"), lambda p: (F.length(_strip(p)) > 80) & ~F.contains(F.left(p, F.lit(24)), F.lit(":")))
     best = F.aggregate(F.transform(parts, _strip), F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
-    return _once(best, lambda p: F.when(p != "", _read(F.left(p, F.lit(MAX_VALUE_LENGTH)), PARAGRAPH_CONFIDENCE, F.left(p, F.lit(PARAGRAPH_EVIDENCE)))).otherwise(_nothing()))
+    return _once(best, lambda p: F.when(p != "", _read(F.left(p, F.lit(MAX_VALUE_LENGTH)), PARAGRAPH_CONFIDENCE, F.left(p, F.lit(PARAGRAPH_EVIDENCE)))))
+
 
+def read_notices(notices: DataFrame, key: str, text: str, sender: str | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """key, field, value, confidence, evidence: a row for each of ``fields`` of each notice, present or not.
 
-def read_notices(notices: DataFrame, key: str, text: str, sender: str | None = None) -> DataFrame:
-    """key, field, value, confidence, evidence: a row for each of ``FIELDS`` of each notice, present or not."""
+    What no label has told is looked for in the prose only then, and only the fields asked for are read.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     envelope = F.lit(None).cast("string") if sender is None else F.col(sender)
-    rows = notices.select(F.col(key).alias("key"), body.alias("body"), envelope.alias("sender")).select(
-        "*", F.lower("body").alias("low"), F.split("body", "\n", -1).alias("lines"), labelled_lines(F.col("body")).alias("found"), parse_email(F.col("body")).alias("email"), parse_phone(F.col("body")).alias("phone")
-    )
-    body, low, found = F.col("body"), F.col("low"), F.col("found")
+    rows = notices.select(F.col(key).alias("key"), body.alias("body"), envelope.alias("sender"))
+    rows = rows.select("*", F.lower("body").alias("low"), F.split("body", "\n", -1).alias("lines"))
+    rows = rows.select("*", labelled_lines(F.col("lines"), fields).alias("found")).select("*", F.col("found.field").alias("about"))
+    body, low, found, about = F.col("body"), F.col("low"), F.col("found"), F.col("about")
     none = F.lit(None).cast("string")
-    inferred = lambda c, where: F.when(c.isNotNull(), _read(c, INFERRED_CONFIDENCE, where)).otherwise(_nothing())
-    readings = {field: _labelled(found, field) for field in NOTICE_LABELS} | {field: _flag(body, low, phrases) for field, phrases in NOTICE_FLAGS.items()}
-    for field in NOTICE_PATTERNS:
-        readings[field] = _first(readings[field], _by_pattern(body, field))
-    for field in NOTICE_COUNTS:
-        readings[field] = _first(readings[field], _count(body, low, field))
-    readings["loss_description"] = _first(_continued(found, F.col("lines"), "loss_description"), _paragraph(body))
-    readings["reporter_email"] = _first(readings["reporter_email"], inferred(F.col("email"), none), inferred(F.col("sender"), F.lit("message envelope")))
-    readings["reporter_phone"] = _first(readings["reporter_phone"], inferred(F.col("phone"), none))
-    table = F.array(*[F.struct(F.lit(field).alias("field"), readings[field].alias("r")) for field in FIELDS])
+    inferred = lambda c, where: _once(c, lambda x: F.when(x.isNotNull(), _read(x, INFERRED_CONFIDENCE, where)))
+    prose = {field: [_by_pattern(body, field)] for field in NOTICE_PATTERNS} | {field: [_count(body, low, field)] for field in NOTICE_COUNTS}
+    prose["loss_description"] = [_paragraph(body)]
+    prose["reporter_email"] = [inferred(F.when(F.contains(body, F.lit("@")), parse_email(body)), none), inferred(F.col("sender"), F.lit("message envelope"))]
+    prose["reporter_phone"] = [inferred(parse_phone(body), none)]
+    readings = {}
+    for field in fields:
+        if field in NOTICE_FLAGS:
+            readings[field] = _flag(body, low, NOTICE_FLAGS[field])
+        else:
+            told = _line_of(found, about, field)["r"] if field != "loss_description" else _continued(found, about, F.col("lines"), field)
+            readings[field] = _first(told, *prose[field]) if field in prose else F.coalesce(told, _nothing())
+    table = F.array(*[F.struct(F.lit(field).alias("field"), readings[field].alias("r")) for field in fields])
     return rows.select(F.col("key").alias(key), F.explode(table).alias("f")).select(key, "f.field", "f.r.value", "f.r.confidence", "f.r.evidence")
 
 
@@ -149,9 +172,13 @@ def overall_confidence(readings: DataFrame, key: str) -> DataFrame:
     return readings.groupBy(key).agg(F.round(F.count("value") / F.count(F.lit(1)), 2).alias("overall_confidence"))
 
 
+#: What ``stated_parties`` reads.
+PARTY_FIELDS = ("insured_name", "insured_organisation", "reporter_name", "reporter_organisation", "reporter_email", "reporter_phone")
+
+
 def stated_parties(readings: DataFrame, key: str) -> DataFrame:
     """key, role, name, organisation, email, phone, confidence of the insured and the reporter, where a notice names them."""
-    names = ("insured_name", "insured_organisation", "reporter_name", "reporter_organisation", "reporter_email", "reporter_phone")
+    names = PARTY_FIELDS
     told = readings.filter(F.col("field").isin(*names)).groupBy(key).agg(
         *[F.max(F.when(F.col("field") == n, F.struct("value", "confidence"))).alias(n) for n in names]
     )

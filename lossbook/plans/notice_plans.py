@@ -36,9 +36,9 @@ BODY = f"""CASE CAST(case_id % 6 AS INT)
 SENDER = "CASE WHEN case_id % 4 < 3 THEN 'intake' || CAST(case_id % 9 AS STRING) || '@mail.example.com' END"
 
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "cases").selectExpr("case_id", f"{BODY} AS body", f"{SENDER} AS sender")
-    return notice.read_notices(rows, "case_id", "body", "sender")
+def _readings(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = notice.FIELDS) -> DataFrame:
+    rows = load(spark, sf_dir, "cases", dealt=True).selectExpr("case_id", f"{BODY} AS body", f"{SENDER} AS sender")
+    return notice.read_notices(rows, "case_id", "body", "sender", fields)
 
 
 def extract_notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def notice_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notice.stated_parties(_readings(spark, sf_dir), "case_id")
+    return notice.stated_parties(_readings(spark, sf_dir, notice.PARTY_FIELDS), "case_id")
 
 
 def _q(text: str) -> str:

@@ -90,3 +90,14 @@ def test_parties_and_share(spark):
     ]
     share = {r.case_id: r.overall_confidence for r in notice.overall_confidence(rows, "case_id").collect()}
     assert share[3] == round(6 / len(notice.FIELDS), 2)
+
+
+def test_only_what_is_asked_for_is_read(spark):
+    """Parties ask for six fields: their rows are those of a whole reading, and no other field's patterns, flags or paragraphs are worked out."""
+    rows = [(1, EMAIL, None), (2, PROSE, "who@sent.example.com"), (3, None, "x@y.example.com"), (4, "Policy type: a\nPolicy: b\nInsured - c\nInsured name: d\nEmail - \nno label", None), (5, "- : -\ncontact - email: z@z.example.com", None)]
+    frame = spark.createDataFrame(rows, "case_id long, t string, sender string")
+    few, whole = notice.read_notices(frame, "case_id", "t", "sender", notice.PARTY_FIELDS), notice.read_notices(frame, "case_id", "t", "sender")
+    want = whole.filter(F.col("field").isin(*notice.PARTY_FIELDS))
+    assert few.count() == want.count() == 30 and few.exceptAll(want).isEmpty()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "policyholder" in plan and "date of loss" not in plan and "date of loss" in whole._jdf.queryExecution().optimizedPlan().toString()
