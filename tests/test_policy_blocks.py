@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lossbook.functions import pairwise
 from lossbook.functions.similarity import containment, jaccard, name_similarity, weighted_mean
-from lossbook.operators import matching
+from lossbook.operators import blocks, matching
 from lossbook.plans import match_plans
 from lossbook.thresholds import Thresholds
 from test_candidate_scores import CASE, POLICY
@@ -49,7 +49,7 @@ def test_blocks_rank_as_pairs_do(spark, monkeypatch):
     pairs = matching.policy_candidates(c, p, Thresholds(policy_candidates=100_000))
     want = sorted(map(tuple, matching.ranked_policies(matching.policy_scores(c, p, pairs)).select(*SHOWN).collect()))
     assert sorted(map(tuple, matching.foremost_policies(c, p).select(*SHOWN).collect())) == want and len(want) > 100
-    monkeypatch.setattr(matching, "_BLOCK", 7)
+    monkeypatch.setattr(blocks, "BLOCK", 7)
     found = matching.foremost_policies(c, p).select(*SHOWN)
     assert sorted(map(tuple, found.collect())) == want
     assert sorted(map(tuple, matching.ranked_policies(matching.candidate_scores(c, p)).select(*SHOWN).collect())) != want  # the first 200 alone don't tell
